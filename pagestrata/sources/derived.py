@@ -312,3 +312,49 @@ SELECT l_orderkey AS doc_id, l_linenumber AS item_no,
  printf('%02X%02X%02X', 240+l_partkey%16, 240+l_partkey%16, 240+l_partkey%16-l_suppkey%4) AS light,
  l_partkey%101/100.0::DOUBLE AS alpha FROM lineitem
 """
+
+# ── styled runs ──────────────────────────────────────────────────────────────────────────────────────────────────
+
+FACES = ["Times New Roman", "Arial", "Courier New"]
+
+
+def styled(df: DataFrame) -> DataFrame:
+    """Style columns read off the words themselves, so that every style occurs on every scale."""
+    t = F.col("text")
+    return df.select(
+        "*",
+        _pick(FACES, F.col("para_no") % 3).alias("family"),
+        t.rlike(r"^\p{Lu}").alias("bold"),
+        t.rlike("[éèê]").alias("italic"),
+        F.when(t.rlike("[0-9]"), "FF0000").when(t.rlike("ü"), "0000C0").otherwise("000000").alias("color"),
+        (F.length(t) <= 1).alias("lifted"),
+        F.when(F.col("para_no") % 3 == 2, F.when(t.rlike("^[a-m]"), "Liberation Mono").otherwise("Cousine")).alias("fallback"),
+    )
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    return styled(words(spark, folder))
+
+
+NEEDS["fx_runs"] = ("fx_words",)
+SQL["fx_runs"] = rf"""
+SELECT *, ({_sql_list(FACES)})[para_no%3+1] AS family, regexp_matches(text,'^\p{{Lu}}') AS bold, regexp_matches(text,'[éèê]') AS italic,
+ CASE WHEN regexp_matches(text,'[0-9]') THEN 'FF0000' WHEN regexp_matches(text,'ü') THEN '0000C0' ELSE '000000' END AS color, length(text)<=1 AS lifted,
+ CASE WHEN para_no%3=2 THEN CASE WHEN regexp_matches(text,'^[a-m]') THEN 'Liberation Mono' ELSE 'Cousine' END END AS fallback
+FROM fx_words
+"""
+
+
+def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Reference text and the candidate that lost words, as two token arrays per document; row-local."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    keep = (
+        "flatten(transform(filter(transform(split(text, '\\n'), (para, p) -> struct(p AS p, filter(split(para, ' '), t -> t <> '') AS ws)), s -> size(s.ws) > 0),"
+        " s -> filter(transform(s.ws, (t, i) -> struct(s.p AS p, i AS i, t AS t)), w -> {cond})))"
+    )
+    lost = "(doc_id + w.p * 7 + w.i) % 13 <> 0"
+    return docs.select(
+        "doc_id",
+        F.expr(f"transform({keep.format(cond='true')}, w -> w.t)").alias("ref"),
+        F.expr(f"transform({keep.format(cond=lost)}, w -> w.t)").alias("cand"),
+    )
