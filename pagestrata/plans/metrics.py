@@ -266,9 +266,9 @@ def _(spark, d):
 @query(
     "gray_diff",
     f"""
-    WITH {RASTER_SQL}, o AS (SELECT unnest([-1,0,1]) AS k), e AS (SELECT doc_id, page_no, min(y) AS y0, max(y) AS y1 FROM ga GROUP BY ALL),
-    d AS (SELECT a.doc_id, a.page_no, a.y, a.x, a.g-b.g AS v FROM ga a JOIN gb b USING (doc_id,page_no,y,x)),
-    s AS (SELECT d.doc_id, d.page_no, d.y, d.x, sum(n.v) AS v FROM d JOIN e USING (doc_id,page_no) CROSS JOIN o i CROSS JOIN o j JOIN d n ON n.doc_id=d.doc_id AND n.page_no=d.page_no AND n.y=least(y1,greatest(y0,d.y+i.k)) AND n.x=least(63,greatest(0,d.x+j.k)) GROUP BY d.doc_id, d.page_no, d.y, d.x)
+    WITH {RASTER_SQL}, d AS (SELECT a.doc_id, a.page_no, a.y, a.x, a.g-b.g AS v FROM ga a JOIN gb b USING (doc_id,page_no,y,x)),
+    h AS (SELECT doc_id, page_no, y, x, v+coalesce(lag(v) OVER w,v)+coalesce(lead(v) OVER w,v) AS v FROM d WINDOW w AS (PARTITION BY doc_id,page_no,y ORDER BY x)),
+    s AS (SELECT doc_id, page_no, v+coalesce(lag(v) OVER w,v)+coalesce(lead(v) OVER w,v) AS v FROM h WINDOW w AS (PARTITION BY doc_id,page_no,x ORDER BY y))
     SELECT doc_id, page_no, {s4("sum(abs(v))::DOUBLE/(2295.0*count(*))")} AS diff FROM s GROUP BY doc_id, page_no
     """,
     "fx_lines",
@@ -281,7 +281,7 @@ def results(spark, d):
     """Long metric records of two runs derived from the event values."""
     e = table(spark, d, "events")
     i = F.col("event_id")
-    value = F.when(i % 11 == 0, F.lit(None).cast("double")).otherwise(F.floor(F.col("value") * 100) % 1000 / F.lit(1000.0))
+    value = F.when(i % 11 == 0, F.lit(None).cast("double")).otherwise(F.floor(F.col("value") * 100) % 1024 / F.lit(1024.0))
     return e.select(
         F.when(i % 2 == 0, "now").otherwise("before").alias("run"),
         F.floor(i / 28).alias("doc_id"),
@@ -291,7 +291,7 @@ def results(spark, d):
     )
 
 
-RESULTS_SQL = f"SELECT CASE WHEN event_id%2=0 THEN 'now' ELSE 'before' END AS run, event_id//28 AS doc_id, CASE WHEN user_id%2=0 THEN 'ours' ELSE 'word' END AS cand, ({derived._sql_list(M.REPORTED)})[CAST((event_id//2)%14+1 AS INT)] AS metric, CASE WHEN event_id%11=0 THEN NULL ELSE CAST(floor(value*100)%1000 AS BIGINT)/1000.0::DOUBLE END AS value FROM events"
+RESULTS_SQL = f"SELECT CASE WHEN event_id%2=0 THEN 'now' ELSE 'before' END AS run, event_id//28 AS doc_id, CASE WHEN user_id%2=0 THEN 'ours' ELSE 'word' END AS cand, ({derived._sql_list(M.REPORTED)})[CAST((event_id//2)%14+1 AS INT)] AS metric, CASE WHEN event_id%11=0 THEN NULL ELSE CAST(floor(value*100)%1024 AS BIGINT)/1024.0::DOUBLE END AS value FROM events"
 
 
 @query(

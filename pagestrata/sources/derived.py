@@ -358,3 +358,67 @@ def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.expr(f"transform({keep.format(cond='true')}, w -> w.t)").alias("ref"),
         F.expr(f"transform({keep.format(cond=lost)}, w -> w.t)").alias("cand"),
     )
+
+# ── page sets: a customer's orders are the pages of one document ─────────────────────────────────────────────────
+
+
+def page_set(spark: SparkSession, folder: str) -> DataFrame:
+    from pagestrata.operators.common import numbered
+
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("source_id"))
+    k = F.col("source_id")
+    return numbered(o, ["doc_id"], "source_id", "page_no").select(
+        "doc_id",
+        "page_no",
+        "source_id",
+        (k % 4 * 90).cast("int").alias("rotate"),
+        (k % 3 * 10.0).alias("crop_x"),
+        (k % 5 * 4.0).alias("crop_y"),
+        (F.lit(500.0) + k % 7 * 10).alias("crop_w"),
+        (F.lit(700.0) + k % 11 * 10).alias("crop_h"),
+    )
+
+
+SQL["fx_pages"] = """
+SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, o_orderkey AS source_id, CAST(o_orderkey%4*90 AS INT) AS rotate,
+ o_orderkey%3*10.0::DOUBLE AS crop_x, o_orderkey%5*4.0::DOUBLE AS crop_y, 500.0::DOUBLE+o_orderkey%7*10 AS crop_w, 700.0::DOUBLE+o_orderkey%11*10 AS crop_h FROM orders
+"""
+
+# ── recognised words of a scan ───────────────────────────────────────────────────────────────────────────────────
+
+DESCENDERS = r"[gjpqyQJçµ()\[\]{}|@$§¿¡]"
+DIPS = "[,;]"
+
+
+def scanned_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words as a recogniser reports them: every other document lies at a slight angle, short words are unsure, some
+    marks are specks, bold words have thick stems."""
+    w = words(spark, folder)
+    t, p = F.col("text"), F.col("para_no")
+    slope = F.when(F.col("doc_id") % 2 == 0, 1.0 / 256).otherwise(0.0)
+    speck = t.rlike(r"^[^\p{L}\p{N}]+$")
+    h = F.when(speck, 3.0).when(F.col("size") == 18.0, 14.0).otherwise(10.0)
+    depth = F.when(t.rlike(DESCENDERS), 2.0).when(t.rlike(DIPS), 1.0).otherwise(0.0)
+    bottom = F.col("y") + 12.0 + slope * (F.col("x") + F.col("w") / 2)
+    return w.select(
+        "doc_id", "page_no", F.col("line_no").alias("line"), p.alias("paragraph"), "word_no", "text",
+        F.col("x").alias("x0"),
+        (F.col("x") + F.col("w")).alias("x1"),
+        (bottom - h).alias("top"),
+        (bottom + depth).alias("bottom"),
+        F.when(F.length(t) <= 2, F.col("confidence") - 30).otherwise(F.col("confidence")).alias("confidence"),
+        (F.lit(1.0) + F.length(t) % 4 / F.lit(16.0) + F.when(t.rlike(r"^\p{Lu}"), 0.5).otherwise(0.0)).alias("stem"),
+        F.when(t.rlike("^[a-c]"), 1.25).otherwise(0.5).alias("leaning"),
+        (p * 16 % 256).cast("int").alias("r"),
+        (F.length(t) * 8 % 256).cast("int").alias("g"),
+        (p * 40 % 256).cast("int").alias("b"),
+    )
+
+
+NEEDS["fx_ocr"] = ("fx_words",)
+SQL["fx_ocr"] = rf"""
+SELECT doc_id, page_no, line_no AS line, para_no AS paragraph, word_no, text, x AS x0, x+w AS x1, bt-h0 AS top, bt+CASE WHEN regexp_matches(text,'{DESCENDERS}') THEN 2.0 WHEN regexp_matches(text,'{DIPS}') THEN 1.0 ELSE 0.0 END AS bottom,
+ CASE WHEN length(text)<=2 THEN confidence-30 ELSE confidence END AS confidence, 1.0::DOUBLE+length(text)%4/16.0::DOUBLE+CASE WHEN regexp_matches(text,'^\p{{Lu}}') THEN 0.5 ELSE 0.0 END AS stem,
+ CASE WHEN regexp_matches(text,'^[a-c]') THEN 1.25::DOUBLE ELSE 0.5::DOUBLE END AS leaning, CAST(para_no*16%256 AS INT) AS r, CAST(length(text)*8%256 AS INT) AS g, CAST(para_no*40%256 AS INT) AS b
+FROM (SELECT *, y+12.0+CASE WHEN doc_id%2=0 THEN 1.0::DOUBLE/256 ELSE 0.0 END*(x+w/2) AS bt, CASE WHEN regexp_matches(text,'^[^\p{{L}}\p{{N}}]+$') THEN 3.0::DOUBLE WHEN size=18.0 THEN 14.0 ELSE 10.0 END AS h0 FROM fx_words)
+"""
