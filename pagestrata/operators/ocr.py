@@ -167,7 +167,8 @@ def page_family(words: DataFrame, widths: DataFrame) -> DataFrame:
     devs = sized.withColumn("dev", dev).withColumn("n", F.count("*").over(w)).filter("n >= 2")
     spread = devs.groupBy(*PAGE, "family").agg(F.avg("dev").alias("spread"), F.count("*").alias("n"))
     families = maps.select(F.collect_list("family").alias("all")).select(F.size("all").alias("k"))
-    ranked = spread.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("spread", "family"))).alias("s"), F.min("n").alias("n"))
+    rank = F.array_position(F.array(*[F.lit(f) for f in FACE_HEIGHTS]), F.col("family"))
+    ranked = spread.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("spread", rank.alias("rank"), "family"))).alias("s"), F.min("n").alias("n"))
     best, second = F.element_at("s", 1), F.element_at("s", 2)
     judged = ranked.crossJoin(F.broadcast(families)).select(
         *PAGE, F.when((F.size("s") == F.col("k")) & (F.col("n") >= 4) & (second["spread"] >= 1.25 * best["spread"]), best["family"]).otherwise("Arial").alias("family")
@@ -184,12 +185,10 @@ def split_ocr_pieces(words: DataFrame) -> DataFrame:
 def line_style_vote(words: DataFrame) -> DataFrame:
     """Bold and italic of words from stem thickness and sharpness when leaning against upright (columns stem, upright,
     leaning), of lines by their letters; words too short to judge take their neighbours' style."""
-    page = Window.partitionBy(*PAGE)
     measured = F.col("text").rlike(r"\p{L}.*\p{L}")
-    stems = F.array_sort(F.collect_list(F.when(measured, F.col("stem"))).over(page))
-    usual = F.element_at(stems, (F.floor(F.lit(0.35) * F.size(stems)) + 1).cast("int"))
-    enough = F.size(stems) >= 6
-    j = words.withColumn("_usual", F.when(enough, usual))
+    usual = F.try_element_at("_s", (F.floor(F.lit(0.35) * F.size("_s")) + 1).cast("int"))
+    stems = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(measured, F.col("stem")))).alias("_s"))
+    j = words.join(stems.select(*PAGE, F.when(F.size("_s") >= 6, usual).alias("_usual")), PAGE)
     bold = F.when(measured & F.col("_usual").isNotNull(), F.col("stem") >= F.lit(1.3) * F.col("_usual"))
     italic = F.when(measured & F.col("_usual").isNotNull(), (F.col("upright") > 0) & (F.col("leaning") >= F.lit(1.06) * F.col("upright")))
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))

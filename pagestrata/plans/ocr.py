@@ -99,7 +99,7 @@ def _(spark, d):
 
 
 # Rule for a small width table: letters are thin, plain or wide, and each face scales the three differently.
-WIDTHS = {"Times New Roman": (0.25, 0.5, 0.75), "Arial": (0.22, 0.56, 0.83), "Courier New": (0.6, 0.6, 0.6)}
+WIDTHS = {"Times New Roman": (0.25, 0.5, 0.75), "Arial": (0.21875, 0.5625, 0.828125), "Courier New": (0.59375, 0.59375, 0.59375)}
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,éèêçüöä"
 
 
@@ -119,7 +119,7 @@ WIDTH_SQL = "cw(family, ch, em) AS (VALUES " + ",".join(f"('{f}','{c}',{e}::DOUB
     e AS (SELECT doc_id, page_no, line, word_no, family, any_value(w) AS w, sum(em) AS em, count(*) AS k, any_value(length(text)) AS n FROM c JOIN cw USING (ch) GROUP BY doc_id, page_no, line, word_no, family, text),
     v AS (SELECT *, w/(em-0.05) AS v, count(*) OVER (PARTITION BY doc_id,page_no,line,family) AS m FROM e WHERE k=n AND em>0.3),
     d AS (SELECT *, abs(ln(v/median(v) OVER (PARTITION BY doc_id,page_no,line,family))) AS dev FROM v WHERE m>=2),
-    s AS (SELECT doc_id, page_no, family, avg(dev) AS sp, count(*) AS n FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id,page_no ORDER BY sp) AS r, count(*) OVER (PARTITION BY doc_id,page_no) AS k, min(n) OVER (PARTITION BY doc_id,page_no) AS mn FROM s),
+    s AS (SELECT doc_id, page_no, family, avg(dev) AS sp, count(*) AS n FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id,page_no ORDER BY sp, CASE family WHEN 'Times New Roman' THEN 0 WHEN 'Arial' THEN 1 ELSE 2 END) AS r, count(*) OVER (PARTITION BY doc_id,page_no) AS k, min(n) OVER (PARTITION BY doc_id,page_no) AS mn FROM s),
     b AS (SELECT a.doc_id, a.page_no, a.family FROM r a JOIN r b ON a.doc_id=b.doc_id AND a.page_no=b.page_no AND a.r=1 AND b.r=2 WHERE a.k=3 AND a.mn>=4 AND b.sp>=1.25*a.sp)
     SELECT doc_id, page_no, coalesce(family,'Arial') AS family FROM (SELECT DISTINCT doc_id, page_no FROM fx_ocr) LEFT JOIN b USING (doc_id, page_no)
     """,

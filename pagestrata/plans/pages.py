@@ -190,7 +190,7 @@ def _(spark, d):
 @query(
     "to_display",
     """
-    WITH b AS (SELECT *, 100.0+page_no AS x0, 200.0+page_no AS y0, 180.0+page_no AS x1, 220.0+page_no AS y1 FROM fx_pages)
+    WITH b AS (SELECT *, 100.0::DOUBLE+page_no AS x0, 200.0::DOUBLE+page_no AS y0, 180.0::DOUBLE+page_no AS x1, 220.0::DOUBLE+page_no AS y1 FROM fx_pages)
     SELECT doc_id, page_no, CASE rotate WHEN 90 THEN y0-crop_y WHEN 180 THEN crop_x+crop_w-x1 WHEN 270 THEN crop_y+crop_h-y1 ELSE x0-crop_x END AS x,
      CASE rotate WHEN 90 THEN x0-crop_x WHEN 180 THEN y0-crop_y WHEN 270 THEN crop_x+crop_w-x1 ELSE crop_y+crop_h-y1 END AS y, CASE WHEN rotate%180=90 THEN y1-y0 ELSE x1-x0 END AS w, CASE WHEN rotate%180=90 THEN x1-x0 ELSE y1-y0 END AS h,
      CASE WHEN rotate%180=90 THEN crop_h ELSE crop_w END AS page_w, CASE WHEN rotate%180=90 THEN crop_w ELSE crop_h END AS page_h FROM b

@@ -422,3 +422,41 @@ SELECT doc_id, page_no, line_no AS line, para_no AS paragraph, word_no, text, x
  CASE WHEN regexp_matches(text,'^[a-c]') THEN 1.25::DOUBLE ELSE 0.5::DOUBLE END AS leaning, CAST(para_no*16%256 AS INT) AS r, CAST(length(text)*8%256 AS INT) AS g, CAST(para_no*40%256 AS INT) AS b
 FROM (SELECT *, y+12.0+CASE WHEN doc_id%2=0 THEN 1.0::DOUBLE/256 ELSE 0.0 END*(x+w/2) AS bt, CASE WHEN regexp_matches(text,'^[^\p{{L}}\p{{N}}]+$') THEN 3.0::DOUBLE WHEN size=18.0 THEN 14.0 ELSE 10.0 END AS h0 FROM fx_words)
 """
+
+# ── glyphs ───────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+def glyphs(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per character of the set lines. Digits are raised and small, words that start with a capital are bold."""
+    lines = word_lines(spark, folder)
+    each = lines.select(
+        "doc_id", "page_no", "line_no", "para_no", "y", "h", "size", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "text")
+    )
+    t = F.col("text")
+    digit = t.rlike("[0-9]")
+    ws = t == " "
+    return each.select(
+        "doc_id", "page_no", "line_no", "para_no",
+        (F.col("line_no") * 100000 + F.col("i")).alias("seq"),
+        "text",
+        ws.alias("ws"),
+        (F.lit(72.0) + F.lit(6.0) * F.col("i")).alias("x"),
+        (F.col("y") + F.col("h") - F.when(digit, 4.0).otherwise(0.0)).alias("y"),
+        F.lit(1.0).alias("dx"),
+        F.lit(0.0).alias("dy"),
+        F.when(digit, F.col("size") * 0.625).otherwise(F.col("size")).alias("size"),
+        F.lit(6.0).alias("adv"),
+        F.when(ws, 0.0).otherwise(6.0).alias("ink"),
+        _pick(FACES, F.col("para_no") % 3).alias("family"),
+        F.when(t.rlike("[éèê]"), "FF0000").otherwise("000000").alias("color"),
+        t.rlike(r"\p{Lu}").alias("bold"),
+    )
+
+
+NEEDS["fx_glyphs"] = ("fx_lines",)
+SQL["fx_glyphs"] = rf"""
+SELECT doc_id, page_no, line_no, para_no, line_no*100000+i AS seq, c AS text, c=' ' AS ws, 72.0::DOUBLE+6.0*i AS x, y+h-CASE WHEN regexp_matches(c,'[0-9]') THEN 4.0::DOUBLE ELSE 0.0 END AS y, 1.0::DOUBLE AS dx, 0.0::DOUBLE AS dy,
+ CASE WHEN regexp_matches(c,'[0-9]') THEN size*0.625::DOUBLE ELSE size END AS size, 6.0::DOUBLE AS adv, CASE WHEN c=' ' THEN 0.0::DOUBLE ELSE 6.0::DOUBLE END AS ink, ({_sql_list(FACES)})[para_no%3+1] AS family,
+ CASE WHEN regexp_matches(c,'[éèê]') THEN 'FF0000' ELSE '000000' END AS color, regexp_matches(c,'\p{{Lu}}') AS bold
+FROM (SELECT doc_id, page_no, line_no, para_no, y, h, size, unnest(range(length(text))) AS i, unnest(string_split(text,'')) AS c FROM fx_lines)
+"""
