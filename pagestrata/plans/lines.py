@@ -78,9 +78,9 @@ STATS_SQL = """
 ik AS (SELECT * FROM (SELECT *, sum(CASE WHEN ws THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id,page_no ORDER BY seq) AS k FROM fx_glyphs) WHERE NOT ws),
 gp AS (SELECT *, x-(lag(x) OVER w+lag(ink) OVER w) AS gap, y-lag(y) OVER w AS off, lag(size) OVER w AS ps, k>lag(k) OVER w AS saw FROM ik WINDOW w AS (PARTITION BY doc_id,page_no ORDER BY seq)),
 nr AS (SELECT *, (abs(off)<=0.12*ps OR (least(size,ps)<=0.85*greatest(size,ps) AND abs(off)<=0.6*greatest(size,ps))) AND gap>-0.3*size AND gap<1.5*size AS near FROM gp),
-ct AS (SELECT doc_id, page_no, CAST(sum(CASE WHEN near AND saw THEN 1 ELSE 0 END) AS BIGINT) AS space_gaps, CAST(sum(CASE WHEN near AND NOT saw AND gap>0.2*size THEN 1 ELSE 0 END) AS BIGINT) AS positional FROM nr GROUP BY doc_id, page_no),
+ct AS (SELECT doc_id, page_no, CAST(sum(CASE WHEN near AND saw THEN 1 ELSE 0 END) AS BIGINT) AS space_gaps, CAST(sum(CASE WHEN near AND NOT saw AND gap>0.2*size THEN 1 ELSE 0 END) AS BIGINT) AS "positional" FROM nr GROUP BY doc_id, page_no),
 em AS (SELECT doc_id, page_no, list_sort(list(adv/size))[len(list(adv/size))//2+1] AS em FROM fx_glyphs WHERE ws GROUP BY doc_id, page_no),
-ss AS (SELECT doc_id, page_no, space_gaps, positional, coalesce(em,0.28::DOUBLE) AS em, space_gaps>=8 AND space_gaps>=4*positional AS spaced FROM ct LEFT JOIN em USING (doc_id,page_no))
+ss AS (SELECT doc_id, page_no, space_gaps, "positional", coalesce(em,0.28::DOUBLE) AS em, space_gaps>=8 AND space_gaps>=4*"positional" AS spaced FROM ct LEFT JOIN em USING (doc_id,page_no))
 """
 
 

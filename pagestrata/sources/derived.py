@@ -460,3 +460,60 @@ SELECT doc_id, page_no, line_no, para_no, line_no*100000+i AS seq, c AS text, c=
  CASE WHEN regexp_matches(c,'[éèê]') THEN 'FF0000' ELSE '000000' END AS color, regexp_matches(c,'\p{{Lu}}') AS bold
 FROM (SELECT doc_id, page_no, line_no, para_no, y, h, size, unnest(range(length(text))) AS i, unnest(string_split(text,'')) AS c FROM fx_lines)
 """
+
+# ── drawn graphics: one table per order, its rows unique ─────────────────────────────────────────────────────────
+
+
+def table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    return li.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_no")).agg(
+        F.min("l_partkey").alias("pk"), F.max("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("flag")
+    )
+
+
+SQL["fx_rows"] = """
+SELECT l_orderkey AS doc_id, l_linenumber AS row_no, min(l_partkey) AS pk, CAST(max(l_quantity) AS INT) AS q, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2
+"""
+
+
+def fills(spark: SparkSession, folder: str) -> DataFrame:
+    """A band behind every table row and a badge inside its last cell."""
+    r = table_rows(spark, folder)
+    y = F.lit(98.0) + F.lit(20.0) * F.col("row_no")
+    band = r.select(
+        "doc_id", F.lit(0).alias("page_no"), (F.col("row_no") * 10).alias("paint_order"), F.lit(70.0).alias("x"), y.alias("y"), F.lit(400.0).alias("w"), F.lit(20.0).alias("h"),
+        F.when(F.col("flag") == "A", "EEEEEE").when(F.col("flag") == "N", "FFFFFF").otherwise("C0C0FF").alias("color"), F.when(F.col("q") % 2 == 0, 1.0).otherwise(0.5).alias("opacity"),
+    )
+    badge = r.select(
+        "doc_id", F.lit(0).alias("page_no"), (F.col("row_no") * 10 + 1).alias("paint_order"), F.lit(380.0).alias("x"), (y + 4).alias("y"), (F.lit(8.0) + F.col("q") % 16).alias("w"), F.lit(12.0).alias("h"),
+        F.when(F.col("pk") % 3 == 0, "008000").otherwise("EEEEEE").alias("color"), F.lit(1.0).alias("opacity"),
+    )
+    return band.unionByName(badge)
+
+
+NEEDS["fx_fills"] = ("fx_rows",)
+SQL["fx_fills"] = """
+SELECT doc_id, 0 AS page_no, row_no*10 AS paint_order, 70.0::DOUBLE AS x, 98.0::DOUBLE+20.0*row_no AS y, 400.0::DOUBLE AS w, 20.0::DOUBLE AS h, CASE flag WHEN 'A' THEN 'EEEEEE' WHEN 'N' THEN 'FFFFFF' ELSE 'C0C0FF' END AS color, CASE WHEN q%2=0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS opacity FROM fx_rows
+UNION ALL SELECT doc_id, 0, row_no*10+1, 380.0::DOUBLE, 102.0::DOUBLE+20.0*row_no, 8.0::DOUBLE+q%16, 12.0::DOUBLE, CASE WHEN pk%3=0 THEN '008000' ELSE 'EEEEEE' END, 1.0::DOUBLE FROM fx_rows
+"""
+
+
+def rule_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The line over every row drawn in pieces: some touch, some leave steady gaps, some are dots."""
+    r = table_rows(spark, folder)
+    kind = F.col("pk") % 4
+    step = F.when(kind == 0, 10.0).when(kind == 1, 12.0).when(kind == 2, 6.0).otherwise(40.0)
+    size = F.when(kind == 0, 10.0).when(kind == 1, 8.0).when(kind == 2, 2.0).otherwise(20.0)
+    each = r.select("*", step.alias("step"), size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    return each.select(
+        "doc_id", F.lit(0).alias("page_no"), (F.col("row_no") * 100 + F.col("k")).alias("piece_no"), F.lit("h").alias("dir"), (F.lit(98.0) + F.lit(20.0) * F.col("row_no")).alias("pos"),
+        (F.lit(70.0) + F.col("step") * F.col("k")).alias("a"), (F.lit(70.0) + F.col("step") * F.col("k") + F.col("size")).alias("b"), F.when(kind == 2, 2.0).otherwise(1.0).alias("width"),
+        F.when((F.col("k") >= 6) & (F.col("q") % 5 == 0), "FF0000").otherwise("000000").alias("color"),
+    )
+
+
+NEEDS["fx_pieces"] = ("fx_rows",)
+SQL["fx_pieces"] = """
+SELECT doc_id, 0 AS page_no, row_no*100+k AS piece_no, 'h' AS dir, 98.0::DOUBLE+20.0*row_no AS pos, 70.0::DOUBLE+step*k AS a, 70.0::DOUBLE+step*k+sz AS b, CASE WHEN pk%4=2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS width, CASE WHEN k>=6 AND q%5=0 THEN 'FF0000' ELSE '000000' END AS color
+FROM (SELECT *, CASE pk%4 WHEN 0 THEN 10.0::DOUBLE WHEN 1 THEN 12.0::DOUBLE WHEN 2 THEN 6.0::DOUBLE ELSE 40.0::DOUBLE END AS step, CASE pk%4 WHEN 0 THEN 10.0::DOUBLE WHEN 1 THEN 8.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE ELSE 20.0::DOUBLE END AS sz FROM fx_rows) CROSS JOIN (SELECT unnest(range(10)) AS k)
+"""
