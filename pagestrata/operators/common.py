@@ -125,3 +125,14 @@ def labels(edges: DataFrame, keys: Sequence[str], cut, rounds: int = 60) -> Data
         if moved.limit(1).count() == 0:
             return lab
     raise RuntimeError("components did not settle; raise the number of rounds")
+
+
+def grouped_map(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
+    """``applyInPandas`` over groups bounded by a page, table or region. The exchange has a fixed number of partitions:
+    such functions cost far more than their bytes suggest, and size-based coalescing would put them into few tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys).applyInPandas(fn, schema)
+
+
+def schema_of(df: DataFrame, cols: Sequence[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)

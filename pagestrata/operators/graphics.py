@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions import geometry as G
-from pagestrata.operators.common import bucket_join, half_up, islands, upper_median
+from pagestrata.operators.common import bucket_join, grouped_map, half_up, islands, upper_median
 
 PAGE = ["doc_id", "page_no"]
 
@@ -89,7 +89,7 @@ def clean_fills(fills: DataFrame, images: DataFrame | None = None) -> DataFrame:
         out["color"] = ["".join(f"{int(np.floor(v + 0.5)):02X}" for v in rgb[i]) for i in live]
         return out.assign(opacity=1.0)[cols]
 
-    return rows.groupBy(*PAGE).applyInPandas(page, _schema(fills, cols))
+    return grouped_map(rows, PAGE, page, _schema(fills, cols))
 
 
 def dotted_rows(pieces: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def cluster_boxes(boxes: DataFrame, gap: float = 2.0, busy: int = 3000, cell: fl
             out[k] = pdf[k].iloc[0]
         return out[cols]
 
-    return pre.select(*cols).groupBy(*PAGE).applyInPandas(page, _schema(pre, cols))
+    return grouped_map(pre.select(*cols), PAGE, page, _schema(pre, cols))
 
 
 def vector_art(areas: DataFrame, words: DataFrame, tables: DataFrame, pictures: DataFrame, page_w: float, page_h: float, most: int = 40) -> DataFrame:
@@ -273,4 +273,4 @@ def two_colors(pixels: DataFrame, keys: list[str]) -> DataFrame:
         name = lambda c: "".join(f"{int(np.floor(v + 0.5)):02X}" for v in c)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "background": [name(centre[back])], "ink": [name(pick)]})
 
-    return palette.groupBy(*keys).applyInPandas(region, _schema(pixels, keys) + ", background string, ink string")
+    return grouped_map(palette, keys, region, _schema(pixels, keys) + ", background string, ink string")

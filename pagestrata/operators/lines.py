@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagestrata.operators.common import bucket_join, half_up, islands, lower_percentile, upper_median, weighted_mode
+from pagestrata.operators.common import bucket_join, grouped_map, half_up, islands, lower_percentile, upper_median, weighted_mode
 
 PAGE = ["doc_id", "page_no"]
 LINE = ["doc_id", "page_no", "line_no"]
@@ -110,7 +110,7 @@ def _overprints(pdf: pd.DataFrame) -> pd.DataFrame:
 def dedupe_overprints(glyphs: DataFrame) -> DataFrame:
     """One glyph per overprinted copy, the one on top; copies struck a hair apart become bold. One page per group."""
     cols = [*PAGE, "seq", "text", "ws", "x", "y", "size", "color", "bold", "invisible"]
-    return glyphs.select(*cols).groupBy(*PAGE).applyInPandas(lambda p: _overprints(p)[cols], _names(glyphs, cols))
+    return grouped_map(glyphs.select(*cols), PAGE, lambda p: _overprints(p)[cols], _names(glyphs, cols))
 
 
 def _same_line(v: Column, size: Column, pv: Column, psize: Column) -> Column:
@@ -164,7 +164,7 @@ def content_chunks(glyphs: DataFrame, stats: DataFrame) -> DataFrame:
             prev = g
         return pdf.assign(chunk=out)[[*PAGE, "seq", "chunk"]]
 
-    return j.groupBy(*PAGE).applyInPandas(page, _names(glyphs, [*PAGE, "seq"]) + ", chunk int")
+    return grouped_map(j, PAGE, page, _names(glyphs, [*PAGE, "seq"]) + ", chunk int")
 
 
 def chunk_boxes(glyphs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def group_lines(boxes: DataFrame, stats: DataFrame) -> DataFrame:
             number.append(at)
         return pdf.assign(line=number)[[*PAGE, "chunk", "line"]]
 
-    return j.groupBy(*PAGE).applyInPandas(page, _names(boxes, [*PAGE, "chunk"]) + ", line int")
+    return grouped_map(j, PAGE, page, _names(boxes, [*PAGE, "chunk"]) + ", line int")
 
 
 def split_tabs(glyphs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions.text import letter_count
-from pagestrata.operators.common import half_up, islands, middle_median
+from pagestrata.operators.common import grouped_map, half_up, islands, middle_median
 
 LINE = ["doc_id", "page_no", "line"]
 PAGE = ["doc_id", "page_no"]
@@ -152,7 +152,7 @@ def snap_sizes(lines: DataFrame) -> DataFrame:
 
     cols = lines.select(*LINE, "size", F.col("chars").cast("double").alias("chars"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.select(*LINE, "size").schema.fields)
-    return cols.groupBy(*PAGE).applyInPandas(page, f"{schema}, snapped double")
+    return grouped_map(cols, PAGE, page, f"{schema}, snapped double")
 
 
 def page_family(words: DataFrame, widths: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def palette(words: DataFrame, reach: int = 36) -> DataFrame:
 
     cols = words.select(*LINE, "word_no", "x0", "r", "g", "b")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.select(*LINE, "word_no").schema.fields)
-    return cols.groupBy(*PAGE).applyInPandas(page, f"{schema}, color string")
+    return grouped_map(cols, PAGE, page, f"{schema}, color string")
 
 
 def merge_ocr(existing: DataFrame, recognised: DataFrame, least: int = 100) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagestrata.operators.common import block_offsets
+from pagestrata.operators.common import block_offsets, grouped_map
 
 HISTORY = 50  # fixed value: undo steps an editor keeps
 
@@ -43,7 +43,7 @@ def replay_editor_events(log: DataFrame) -> DataFrame:
     def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return next(replay(key, iter([pdf])))
 
-    found = live.select("doc_id", "seq", "action", "item_id").groupBy("doc_id").applyInPandas(whole, "doc_id bigint, items string, n_items int")
+    found = grouped_map(live.select("doc_id", "seq", "action", "item_id"), ["doc_id"], whole, "doc_id bigint, items string, n_items int")
     known = log.select("doc_id").distinct()
     return known.join(found, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit("")).alias("items"), F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
