@@ -142,7 +142,7 @@ CUTS = (150.0, 246.0)
     "split_at_gap",
     """
     WITH w AS (SELECT *, x+CASE WHEN x>=216 THEN 30 ELSE 0 END AS u FROM fx_words), g AS (SELECT doc_id, page_no, line_no, word_no, size, lag(u+w) OVER (PARTITION BY doc_id,page_no,line_no ORDER BY u,word_no) AS l, u AS r FROM w), h AS (SELECT * FROM g WHERE l IS NOT NULL),
-    c AS (SELECT unnest([0,1]) AS cut_no, unnest([150.0::DOUBLE,246.0::DOUBLE]) AS at), k AS (SELECT *, abs((l+r)/2-at) AS d, l<=at+1 AND r>=at-1 AS clean FROM h, c),
+    c AS (SELECT unnest([0,1]) AS cut_no, unnest([150.0::DOUBLE,246.0::DOUBLE]) AS ca), k AS (SELECT *, abs((l+r)/2-ca) AS d, l<=ca+1 AND r>=ca-1 AS clean FROM h, c),
     b AS (SELECT doc_id, page_no, line_no, cut_no, arg_min(word_no, d*1000000+word_no) FILTER (clean) AS cw, arg_min(r-l, d*1000000+word_no) FILTER (clean) AS cg, arg_min(word_no, d*1000000+word_no) FILTER (d<=6) AS nw, max(size) AS size FROM k GROUP BY ALL),
     o AS (SELECT b.doc_id, b.page_no, b.line_no, cut_no, list_sort(list(r-l)) AS o FROM b JOIN h USING (doc_id,page_no,line_no) WHERE cw IS NOT NULL AND h.word_no<>cw AND r-l>0 GROUP BY ALL)
     SELECT doc_id, page_no, line_no, cut_no, coalesce(cw,nw) AS next_word, cw IS NOT NULL AS in_gap, coalesce(cg>=greatest(0.6*size, CASE WHEN len(o)>0 THEN 2*o[len(o)//2+1] ELSE 0 END),false) AS column_gap FROM b LEFT JOIN o USING (doc_id,page_no,line_no,cut_no)
@@ -320,7 +320,7 @@ def _(spark, d):
     "expand_grid",
     """
     WITH c AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY row_no)-1 AS r, k, q, pk FROM fx_rows, (SELECT unnest(range(3)) AS k)), s AS (SELECT *, CASE WHEN k=1 THEN 1+q%3 ELSE 1 END AS span, k=0 AND pk%2=0 AND r>0 AS cont, concat(pk,'.',k) AS t FROM c),
-    p AS (SELECT *, coalesce(sum(span) OVER (PARTITION BY doc_id,r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS c0 FROM s), e AS (SELECT doc_id, r, unnest(range(c0,c0+span)) AS c, CASE WHEN cont THEN NULL ELSE t END AS t FROM p)
+    p AS (SELECT *, coalesce(sum(span) OVER (PARTITION BY doc_id,r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS c0 FROM s), e AS (SELECT doc_id, r, unnest(range(CAST(c0 AS BIGINT),CAST(c0+span AS BIGINT))) AS c, CASE WHEN cont THEN NULL ELSE t END AS t FROM p)
     SELECT doc_id, 0 AS page_no, 0 AS table_no, CAST(r AS INT) AS r, CAST(c AS INT) AS c, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY doc_id,c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),'') AS text FROM e
     """,
     "fx_rows",
