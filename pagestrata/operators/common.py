@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,10 +130,33 @@ def labels(edges: DataFrame, keys: Sequence[str], cut, rounds: int = 60) -> Data
 
 
 def grouped_map(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
-    """``applyInPandas`` over groups bounded by a page, table or region. The exchange has a fixed number of partitions:
-    such functions cost far more than their bytes suggest, and size-based coalescing would put them into few tasks."""
+    """A pandas function over groups bounded by a page, table or region. Groups are small and many, so they travel
+    sorted in full Arrow batches and are cut apart inside the task; one that a batch end divides is carried over. The
+    exchange has a fixed number of partitions: such functions cost far more than their bytes suggest, and size-based
+    coalescing would put them into few tasks."""
+    ks = list(keys)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).groupBy(*keys).applyInPandas(fn, schema)
+
+    def batches(it):
+        rest = None
+        for pdf in it:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            change = np.zeros(len(pdf), dtype=bool)
+            for k in ks:
+                v = pdf[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            cuts = [0, *np.flatnonzero(change), len(pdf)]
+            rest = pdf.iloc[cuts[-2] :]
+            done = [fn(pdf.iloc[i:j]) for i, j in zip(cuts[:-2], cuts[1:-1])]
+            done = [d for d in done if len(d)]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if rest is not None and len(rest):
+            yield fn(rest)
+
+    return df.repartition(n, *ks).sortWithinPartitions(*ks).mapInPandas(batches, schema)
 
 
 def schema_of(df: DataFrame, cols: Sequence[str]) -> str:

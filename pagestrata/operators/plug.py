@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pagestrata.operators.common import grouped_map
+
 
 def map_pages(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """The caller's function over Arrow batches of pages (render, recognise, …)."""
@@ -21,21 +22,8 @@ def map_pages(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 
 def map_cells(df: DataFrame, fn: Callable, schema: str, keys: list[str]) -> DataFrame:
-    """The caller's function over the lines of one table cell. Cells arrive sorted in Arrow batches, many to a batch; a
-    cell cut by a batch end is carried into the next."""
-
-    def batches(it: Iterable[pd.DataFrame]):
-        rest = None
-        for pdf in it:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1)
-            rest, whole = pdf[last], pdf[~last]
-            if len(whole):
-                yield pd.concat([fn(part) for _, part in whole.groupby(keys, sort=False)], ignore_index=True)
-        if rest is not None and len(rest):
-            yield fn(rest)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
+    """The caller's function over the lines of one table cell."""
+    return grouped_map(df, keys, fn, schema)
 
 
 def fallback_resolver(c: Column, chances: list[Callable]) -> Column:

@@ -119,7 +119,7 @@ def marked_rows(spark, d):
     m AS (SELECT *, (bu OR nu) AND NOT (gap IS NOT NULL AND ((NOT (bu AND NOT wk) AND gap<0.45*size) OR (regexp_matches(tok,'^[a-zA-Z][.)]$') AND gap<0.6*size))) AS mk, gap IS NOT NULL OR (bu AND NOT wk) AS strong FROM f),
     g AS (SELECT *, CASE WHEN mk THEN CASE WHEN bu THEN 'b:'||tok ELSE concat('n:',CASE WHEN regexp_matches(regexp_replace(tok,'[().]','','g'),'^\d') THEN 'd' WHEN regexp_matches(regexp_replace(tok,'[().]','','g'),'^[ivxlcdm]+$') THEN 'r' WHEN regexp_matches(regexp_replace(tok,'[().]','','g'),'^[IVXLCDM]+$') THEN 'R' WHEN regexp_matches(regexp_replace(tok,'[().]','','g'),'^[a-z]$') THEN 'a' ELSE 'A' END, CASE WHEN tok LIKE '(%)' THEN '()' WHEN tok LIKE '%)' THEN ')' ELSE '.' END) END END AS family FROM m),
     n AS (SELECT *, lead(mk) OVER w AS nm, lead(x0) OVER w AS nx FROM g WINDOW w AS (PARTITION BY doc_id,page_no ORDER BY b,row_no))
-    SELECT doc_id, page_no, row_no, tok AS marker, CASE WHEN bu THEN 'bullet' ELSE 'number' END AS kind, family, x0 AS marker_x, 90.0::DOUBLE AS text_x FROM n WHERE mk AND (strong OR (EXISTS (SELECT 1 FROM g o WHERE o.doc_id=n.doc_id AND o.page_no=n.page_no AND o.mk AND o.family=n.family AND o.row_no<>n.row_no AND abs(o.x0-n.x0)<=2) AND coalesce(NOT nm AND nx>x0+0.5*size AND abs(nx-90)<=0.6*size,false)))
+    SELECT doc_id, page_no, row_no, tok AS marker, CASE WHEN bu THEN 'bullet' ELSE 'number' END AS kind, family, x0::DOUBLE AS marker_x, 90.0::DOUBLE AS text_x FROM n WHERE mk AND (strong OR (EXISTS (SELECT 1 FROM g o WHERE o.doc_id=n.doc_id AND o.page_no=n.page_no AND o.mk AND o.family=n.family AND o.row_no<>n.row_no AND abs(o.x0-n.x0)<=2) AND coalesce(NOT nm AND nx>x0+0.5*size AND abs(nx-90)<=0.6*size,false)))
     """,
     "fx_lines",
 )
@@ -200,20 +200,22 @@ def _(spark, d):
 @query(
     "paragraph_format",
     f"""
-    WITH r AS (SELECT doc_id, page_no, para_no, line_no, CASE WHEN para_no%4=1 THEN 306-w/2 WHEN para_no%4=2 THEN 540-w ELSE 72.0 END AS x0, CASE WHEN para_no%4=1 THEN 306+w/2 WHEN para_no%4=2 THEN 540.0 ELSE 72+w END AS x1, y+h AS b, size FROM fx_lines WHERE para_no%4 IN (0,1,2)),
-    g AS (SELECT doc_id, page_no, para_no AS para_id, count(*) AS n, max(size) AS sz, max(x0)-min(x0) AS vl, max((x0+x1)/2)-min((x0+x1)/2) AS vm, max(x1)-min(x1) AS vr, min(x0) AS x0, max(x1) AS x1, max(x1-x0) AS wi, (max(b)-min(b))/greatest(1,count(*)-1) AS pitch FROM r GROUP BY ALL)
-    SELECT doc_id, page_no, para_id, n FROM g
+    WITH r AS (SELECT doc_id, page_no, para_no AS para_id, row_number() OVER o AS i, count(*) OVER (PARTITION BY doc_id,page_no,para_no) AS n, CASE para_no%4 WHEN 1 THEN 306-w/2 WHEN 2 THEN 540-w ELSE 72.0 END AS x0, CASE para_no%4 WHEN 1 THEN 306-w/2+w WHEN 0 THEN 72+w ELSE 540.0 END AS x1, y+h-lag(y+h) OVER o AS gap, size FROM fx_lines WINDOW o AS (PARTITION BY doc_id,page_no,para_no ORDER BY y+h,line_no)),
+    g AS (SELECT doc_id, page_no, para_id, max(n) AS n, max(size) AS sz, max(CASE WHEN i=1 THEN x0 END) AS l0, arg_min(x0,i) FILTER (i>1) AS b0, max(x0) FILTER (i>1)-min(x0) FILTER (i>1) AS vb, max(x0)-min(x0) AS vl, max((x0+x1)/2)-min((x0+x1)/2) AS vm, max(x1)-min(x1) AS vr, max(x1) FILTER (i<n)-min(x1) FILTER (i<n) AS vf, max(x1) FILTER (i<n) AS fu,
+      list_sort(list(x0) FILTER (i>1)) AS lb, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS lp, list_sort(list((x0+x1)/2)) AS lm, max(CASE WHEN i=1 THEN x1 END) AS x1, max(x1) AS xm, max(x1-x0) AS wi FROM r GROUP BY ALL),
+    j AS (SELECT *, coalesce(n>=2 AND vf<=greatest(1.2,0.08*sz) AND abs(fu-540)<=greatest(3,0.4*sz),false) AS ju, greatest(1.5,0.15*sz) AS tol, lm[len(lm)//2+1] AS mid FROM g), v AS (SELECT doc_id, page_no, sum(CASE WHEN n>=3 THEN 1 ELSE 0 END)>0 AND sum(CASE WHEN n>=3 AND ju THEN 1 ELSE 0 END)>=0.5*sum(CASE WHEN n>=3 THEN 1 ELSE 0 END) AS pref FROM j GROUP BY ALL),
+    k AS (SELECT *, l0-b0 AS off, vm<=greatest(2,0.2*sz) AS ce, vr<=tol AS ev, vl>tol AS va FROM j JOIN v USING (doc_id,page_no)), l AS (SELECT *, vb<=tol AND (abs(off)<=tol OR (off>tol AND off<=8*sz AND n>=3) OR (off<-tol AND -off<=12*sz)) AS fl FROM k),
+    m AS (SELECT *, CASE WHEN n>=2 THEN CASE WHEN ev AND va AND NOT (fl AND abs(off)>tol AND n>=3) THEN 'right' WHEN fl AND ju AND (n>=3 OR pref) THEN 'justify' WHEN fl AND NOT (va AND ce) THEN 'left' WHEN ce AND va THEN 'center' WHEN ev AND va THEN 'right' ELSE 'left' END
+      WHEN abs((l0+x1)/2-306)<=greatest(2,0.015*468) AND l0-72>0.04*468 THEN 'center' WHEN abs(x1-540)<=1.5 AND l0-72>greatest(0.08*468,3*sz) THEN 'right' ELSE 'left' END AS align, CASE WHEN n>=2 THEN lb[len(lb)//2+1] ELSE l0 END AS bx, greatest(least(2*least(mid-72,540-mid),468),wi+2) AS cw FROM l)
+    SELECT doc_id, page_no, 0 AS region_no, para_id, n, align, {s2("CASE WHEN align IN ('left','justify') THEN greatest(0,bx-72) WHEN align='center' THEN greatest(0,mid-cw/2-72) ELSE 0 END")} AS indent_left, {s2("CASE align WHEN 'justify' THEN greatest(0,540-fu) WHEN 'right' THEN greatest(0,540-xm) WHEN 'center' THEN greatest(0,540-mid-cw/2) ELSE 0 END")} AS indent_right,
+     {s2("CASE WHEN align IN ('left','justify') AND abs(l0-bx)>=1 THEN l0-bx ELSE 0 END")} AS first_indent, {s2("coalesce(lp[len(lp)//2+1],sz*1.2::DOUBLE)")} AS line_spacing FROM m
     """,
     "fx_lines",
 )
 def _(spark, d):
-    return formatted(spark, d).filter("para_id % 4 <> 3").select(*PAGE, "para_id", "n")
-
-
-def formatted(spark, d):
     p, w = F.col("para_no") % 4, F.col("w")
     x0 = F.when(p == 1, F.lit(306.0) - w / 2).when(p == 2, F.lit(540.0) - w).otherwise(72.0)
-    x1 = F.when(p == 3, F.lit(540.0)).otherwise(x0 + w)
+    x1 = F.when((p == 3) | (p == 2), F.lit(540.0)).otherwise(x0 + w)
     r = lines(spark, d).select(
         *PAGE, F.lit(0).alias("region_no"), F.col("para_no").alias("para_id"), F.col("line_no").alias("row_no"), x0.alias("x0"), x1.alias("x1"), x0.alias("text_x"), "baseline", "size", F.lit(False).alias("marked"), F.lit(0).alias("tabs"),
         F.lit(False).alias("keep_lines"), F.lit(540.0).alias("wrap_right"), F.lit(72.0).alias("region_x"), F.lit(540.0).alias("region_right"), F.lit(1.2).alias("leading"), F.lit(False).alias("stretched"), F.lit(False).alias("flush"),
@@ -221,11 +223,6 @@ def formatted(spark, d):
     return H.paragraph_format(r)
 
 
-@query("paragraph_alignment")
-def _(spark, d):
-    return formatted(spark, d)
-
-
 @query(
     "join_lines",
     r"""

@@ -33,17 +33,14 @@ def replay_editor_events(log: DataFrame) -> DataFrame:
     resets = log.filter("action = 'reset'").groupBy("doc_id").agg(F.max("seq").alias("_from"))
     live = log.join(resets, "doc_id", "left").filter(F.col("_from").isNull() | (F.col("seq") > F.col("_from")))
 
-    def replay(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         items, past = [], []
-        pdf = pd.concat(list(batches)).sort_values("seq")
+        pdf = pdf.sort_values("seq")
         for action, item in zip(pdf["action"], pdf["item_id"]):
             items, past = step(items, past, action, item)
-        yield pd.DataFrame({"doc_id": [key[0]], "items": [",".join(items)], "n_items": [len(items)]})
-
-    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(replay(key, iter([pdf])))
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "items": [",".join(items)], "n_items": [len(items)]})
 
-    found = grouped_map(live.select("doc_id", "seq", "action", "item_id"), ["doc_id"], whole, "doc_id bigint, items string, n_items int")
+    found = grouped_map(live.select("doc_id", "seq", "action", "item_id"), ["doc_id"], replay, "doc_id bigint, items string, n_items int")
     known = log.select("doc_id").distinct()
     return known.join(found, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit("")).alias("items"), F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
