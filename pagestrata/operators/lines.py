@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagestrata.functions.text import let
 from pagestrata.operators.common import bucket_join, grouped_map, half_up, islands, lower_percentile, upper_median, weighted_mode
 
 PAGE = ["doc_id", "page_no"]
@@ -379,9 +380,15 @@ def word_boxes(runs: DataFrame) -> DataFrame:
     """Boxes of a run's words, its characters spread evenly. ``runs``: line, text, x, y, w, h."""
     per = F.col("w") / F.length("text")
     chars = F.filter(F.split("text", ""), lambda c: c != "")
-    begins = F.filter(F.transform(chars, lambda c, i: F.when((c.rlike(r"\S")) & ((i == 0) | F.get(chars, i - 1).rlike(r"\s")), i)), lambda i: i.isNotNull())
-    ends = F.filter(F.transform(chars, lambda c, i: F.when((c.rlike(r"\S")) & ((i == F.size(chars) - 1) | F.get(chars, i + 1).rlike(r"\s")), i + 1)), lambda i: i.isNotNull())
-    spans = F.arrays_zip(begins.alias("a"), ends.alias("b"))
+
+    def edges(cs: Column) -> Column:
+        solid = lambda i: F.coalesce(F.get(cs, i).rlike(r"\S"), F.lit(False))
+        at = F.sequence(F.lit(0), F.size(cs) - 1)
+        begins = F.filter(at, lambda i: solid(i) & ((i == 0) | ~solid(i - 1)))
+        ends = F.transform(F.filter(at, lambda i: solid(i) & ~solid(i + 1)), lambda i: i + 1)
+        return F.arrays_zip(begins.alias("a"), ends.alias("b"))
+
+    spans = let(chars, edges)
     each = runs.select(*LINE, "text", "x", "y", "h", per.alias("_p"), F.posexplode(spans).alias("n", "s"))
     a, b = F.col("s")["a"], F.col("s")["b"]
     return each.select(*LINE, F.col("n").alias("word_no"), F.substr("text", a + 1, b - a).alias("text"), (F.col("x") + a * F.col("_p")).alias("x"), "y", ((b - a) * F.col("_p")).alias("w"), "h")
