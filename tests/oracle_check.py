@@ -8,6 +8,7 @@ import decimal
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -42,7 +43,7 @@ def rows_of(cols, rows):
 
 
 def duck(folder):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"temp_directory": tempfile.mkdtemp(prefix="spark-", dir="/tmp")})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
