@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import sharding, urls
+from pagestrata.llm import bpe, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +46,8 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM sited LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 """
+
+
+@query
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(spark.read.parquet(f"{folder}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
