@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import bpe, sharding, urls
+from pagestrata.llm import bpe, packing, prefixes, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,14 @@ FROM sited LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
 @query
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(spark.read.parquet(f"{folder}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.count_tokens(spark.read.parquet(f"{folder}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(spark.read.parquet(f"{folder}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return packing.pack(pieces, 2048)
