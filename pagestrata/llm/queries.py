@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import bpe, packing, prefixes, sharding, urls
+from pagestrata.llm import bpe, packing, prefixes, sharding, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.token_pieces(spark.read.parquet(f"{folder}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), 2048)
     return packing.pack(pieces, 2048)
+
+
+@query
+def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
