@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import bpe, packing, prefixes, sharding, simhash, substrings, urls
+from pagestrata.llm import bpe, packing, prefixes, sharding, simhash, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,10 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.remove_repeats(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit_field(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
