@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import bpe, packing, prefixes, sharding, simhash, substrings, toxicity, urls
+from pagestrata.llm import bpe, neighbours, packing, prefixes, sharding, simhash, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     model = toxicity.fit_field(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
+@query
+def op4_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
