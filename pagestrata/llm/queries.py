@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import bpe, neighbours, packing, prefixes, sharding, simhash, substrings, toxicity, urls
+from pagestrata.llm import bpe, minhash, neighbours, packing, prefixes, sharding, simhash, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.edited_and_next(spark.read.parquet(f"{folder}/documents.parquet"))
