@@ -7,7 +7,6 @@ is bounded by the capacity, not by the corpus; every piece then finds its place
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from pagestrata.llm import bpe, shared
 
@@ -133,18 +131,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, key: str = "doc_id",
     base = docs.select(F.col(key), F.col(text).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        library, known = Tokenizer.from_file(path), bpe.vocabulary(path)
-        whole = lambda x: np.array(x.ids, "<u4").tobytes()
-        table = bpe.Remembered(lambda pieces: map(whole, library.encode_batch_fast(pieces, add_special_tokens=False)))
+        encode = bpe.encoder(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in bpe.in_portions(texts):
-                cut = [[(known.pieces(x) if i is None else i) for x, i in known.parts(t)] for t in texts[a:b]]
-                table.learn([x for parts in cut for x in parts if isinstance(x, list)])
                 rows: list[tuple] = []
-                for row, parts in enumerate(cut):
-                    ids = b"".join(b"".join(map(table.__getitem__, x)) if isinstance(x, list) else x.to_bytes(4, "little") for x in parts) + bytes(4)
+                for row, found in enumerate(encode(texts[a:b])):
+                    ids = found + bytes(4)
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append((row, n, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
