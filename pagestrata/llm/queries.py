@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagestrata.llm import bpe, minhash, neighbours, packing, prefixes, sharding, simhash, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,12 @@ def op4_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.edited_and_next(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
