@@ -99,7 +99,8 @@ def fit_index(vectors: DataFrame, rows: int = SAMPLE, parts: int = PARTS, neighb
         np.save(out, fit(np.concatenate(found), parts, neighbours) if found else np.zeros((1, 1)))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    return np.load(io.BytesIO(bytes(drawn.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(run, "model binary").first()["model"])))
+    made = drawn.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").mapInArrow(run, "model binary").first()
+    return np.load(io.BytesIO(bytes(made["model"]))) if made else np.zeros((1, 1))  # an empty plan runs no task
 
 
 def routed(vectors: DataFrame, weight: np.ndarray, probes: int) -> DataFrame:
