@@ -65,11 +65,11 @@ def bucket_join(
     step: float,
     pad: float = 0.0,
     extra: Column | None = None,
-    how: str = "inner",
 ) -> DataFrame:
     """Range join of two tables of intervals: both sides are cut into ``step``-wide strips, joined on key and strip,
     and a pair is kept only in the first strip its overlap touches, so no pair is emitted twice and none is lost.
-    Columns of both sides must have distinct names apart from ``keys``. ``pad`` widens the left interval."""
+    Columns of both sides must have distinct names apart from ``keys``. ``pad`` widens the left interval. It is an inner
+    join: rows with a null bound meet nothing; callers that keep unmatched rows join the pairs back by id."""
     ll, lh = F.col(left_span[0]) - pad, F.col(left_span[1]) + pad
     rl, rh = F.col(right_span[0]), F.col(right_span[1])
     bl = F.explode(F.sequence(F.floor(ll / step), F.floor(lh / step)))
@@ -83,8 +83,6 @@ def bucket_join(
     cond = same & (F.col("_strip") == F.col("_rstrip")) & (rl <= lh) & (rh >= ll)
     if extra is not None:
         cond = cond & extra
-    if how in ("left_semi", "left_anti"):
-        raise ValueError("use pair ids and a semi/anti join on top")
     drop = [f"_r_{k}" for k in keys] + ["_strip", "_rstrip"]
     return a.join(b, cond & first, "inner").drop(*drop)
 
@@ -107,54 +105,42 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, block: i
     return joined.withColumn(name, (F.row_number().over(w) + F.col("_before")).cast("bigint")).drop("_block", "_before")
 
 
-def labels(edges: DataFrame, keys: Sequence[str], cut, rounds: int = 60) -> DataFrame:
-    """Connected components of (a, b) pairs per key as (keys, node, label): the smallest node id of the component.
-    Minimum labels travel along the edges and jump to the label of their label, so long chains need few rounds."""
-    ks = list(keys)
-    both = edges.select(*ks, F.col("a").alias("u"), F.col("b").alias("v"))
-    both = both.unionByName(both.select(*ks, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = cut(both)
-    lab = both.groupBy(*ks, F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label"))
-    lab = cut(lab)
-    for _ in range(rounds):
-        offer = both.join(lab.withColumnRenamed("node", "v"), [*ks, "v"]).select(*ks, F.col("u").alias("node"), "label")
-        low = lab.unionByName(offer).groupBy(*ks, "node").agg(F.min("label").alias("near"))
-        hop = low.select(*ks, F.col("node").alias("near"), F.col("near").alias("far"))
-        new = low.join(hop, [*ks, "near"], "left").select(*ks, "node", F.least("near", F.coalesce("far", "near")).alias("label"))
-        new = cut(new)
-        moved = new.join(lab.withColumnRenamed("label", "old"), [*ks, "node"]).filter(F.col("label") != F.col("old"))
-        lab = new
-        if moved.limit(1).count() == 0:
-            return lab
-    raise RuntimeError("components did not settle; raise the number of rounds")
-
-
 def grouped_map(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
     """A pandas function over groups bounded by a page, table or region. Groups are small and many, so they travel
-    sorted in full Arrow batches and are cut apart inside the task; one that a batch end divides is carried over. The
-    exchange has a fixed number of partitions: such functions cost far more than their bytes suggest, and size-based
-    coalescing would put them into few tasks."""
+    sorted in full Arrow batches and are cut apart inside the task; one that a batch end divides waits, and its parts
+    are joined once. Null keys are keys like others. The exchange has a fixed number of partitions: such functions cost
+    far more than their bytes suggest, and size-based coalescing would put them into few tasks."""
     ks = list(keys)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(pdf), dtype=bool)
+        for k in ks:
+            v, blank = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+            change[1:] |= np.where(blank[1:] | blank[:-1], blank[1:] != blank[:-1], v[1:] != v[:-1])
+        return np.flatnonzero(change)
+
     def batches(it):
-        rest = None
+        waiting: list[pd.DataFrame] = []
         for pdf in it:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            change = np.zeros(len(pdf), dtype=bool)
-            for k in ks:
-                v = pdf[k].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            cuts = [0, *np.flatnonzero(change), len(pdf)]
-            rest = pdf.iloc[cuts[-2] :]
-            done = [fn(pdf.iloc[i:j]) for i, j in zip(cuts[:-2], cuts[1:-1])]
+            head = pd.concat([waiting[-1].iloc[-1:], pdf.iloc[:1]]) if waiting else pdf.iloc[:1]
+            cuts = [0, *starts(pdf), len(pdf)]
+            if waiting and len(starts(head)):
+                whole, waiting = pd.concat(waiting, ignore_index=True), []
+                yield fn(whole)
+            if len(cuts) == 2:
+                waiting.append(pdf)
+                continue
+            first = pd.concat([*waiting, pdf.iloc[: cuts[1]]], ignore_index=True)
+            done = [fn(first), *(fn(pdf.iloc[i:j]) for i, j in zip(cuts[1:-2], cuts[2:-1]))]
+            waiting = [pdf.iloc[cuts[-2] :]]
             done = [d for d in done if len(d)]
             if done:
                 yield pd.concat(done, ignore_index=True)
-        if rest is not None and len(rest):
-            yield fn(rest)
+        if waiting:
+            yield fn(pd.concat(waiting, ignore_index=True))
 
     return df.repartition(n, *ks).sortWithinPartitions(*ks).mapInPandas(batches, schema)
 

@@ -181,45 +181,58 @@ def visible_rules(rules: DataFrame, fills: DataFrame, page_w: float, page_h: flo
     return j.filter(drawn).withColumn("a", lo).withColumn("b", hi).filter(F.col("b") - F.col("a") >= 1).drop("hidden", "under")
 
 
-def cluster_boxes(boxes: DataFrame, gap: float = 2.0, busy: int = 3000, cell: float = 50.0) -> DataFrame:
-    """Boxes nearer than ``gap`` merged to their bounds until none are near. A page with more than ``busy`` boxes is
-    first reduced to one box per grid cell, so the group a page forms stays bounded."""
-    n = boxes.groupBy(*PAGE).agg(F.count("*").alias("_n"))
-    j = boxes.join(n, PAGE)
-    gx, gy = F.when(F.col("_n") > busy, F.floor(F.col("x") / cell)), F.when(F.col("_n") > busy, F.floor(F.col("y") / cell))
-    solo = F.when(F.col("_n") <= busy, F.col("box_no"))
-    pre = j.groupBy(*PAGE, gx.alias("_gx"), gy.alias("_gy"), solo.alias("_solo")).agg(
-        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), F.count("*").alias("members")
-    )
+def _near(b: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of boxes nearer than the gap. Boxes sorted by their left edge meet those that begin before they end, in
+    slices of bounded size."""
+    last = np.searchsorted(b[:, 0], b[:, 2] + gap, side="right")
+    many = np.maximum(last - np.arange(len(b)) - 1, 0)
+    found = [(np.zeros(0, np.int64),) * 2]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(b):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")))
+        n = many[at:to]
+        i = np.repeat(np.arange(at, min(to, len(b))), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        ok = (b[j, 1] <= b[i, 3] + gap) & (b[i, 1] <= b[j, 3] + gap)
+        found.append((i[ok], j[ok]))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def cluster_boxes(boxes: DataFrame, gap: float = 2.0) -> DataFrame:
+    """Boxes nearer than ``gap`` merged to their bounds until none are near; one method for every page."""
     cols = [*PAGE, "x", "y", "x1", "y1", "members"]
+    given = boxes.select(*PAGE, "x", "y", (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), F.lit(1).cast("bigint").alias("members"))
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         b = pdf[["x", "y", "x1", "y1", "members"]].to_numpy(dtype=float)
         while True:
-            merged: list[np.ndarray] = []
-            for row in b[np.lexsort((b[:, 1], b[:, 0]))]:
-                near = [k for k, m in enumerate(merged) if m[0] <= row[2] + gap and row[0] <= m[2] + gap and m[1] <= row[3] + gap and row[1] <= m[3] + gap]
-                if near:
-                    m = merged[near[0]]
-                    merged[near[0]] = np.array([*np.minimum(m[:2], row[:2]), *np.maximum(m[2:4], row[2:4]), m[4] + row[4]])
-                else:
-                    merged.append(row)
-            done = len(merged) == len(b)
-            b = np.array(merged)
-            if done:
+            b = b[np.lexsort((b[:, 1], b[:, 0]))]
+            i, j = _near(b, gap)
+            if not len(i):
                 break
+            root = np.arange(len(b))
+            while (root[i] != root[j]).any():
+                np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+                while (root[root] != root).any():
+                    root = root[root]
+            order = np.argsort(root, kind="stable")
+            cut = np.flatnonzero(np.append(True, np.diff(root[order]) > 0))
+            low, high = np.minimum.reduceat(b[order, :2], cut), np.maximum.reduceat(b[order, 2:4], cut)
+            b = np.hstack([low, high, np.add.reduceat(b[order, 4:], cut)])
         out = pd.DataFrame(b, columns=["x", "y", "x1", "y1", "members"])
         out["members"] = out["members"].astype("int64")
         for k in PAGE:
             out[k] = pdf[k].iloc[0]
         return out[cols]
 
-    return grouped_map(pre.select(*cols), PAGE, page, _schema(pre, cols))
+    return grouped_map(given.select(*cols), PAGE, page, _schema(given, cols))
 
 
-def vector_art(areas: DataFrame, words: DataFrame, tables: DataFrame, pictures: DataFrame, page_w: float, page_h: float, most: int = 40) -> DataFrame:
-    """Areas of art worth cropping, the largest ``most`` of a page (a limit of the feature). All tables: page and box;
-    ``areas`` with area_no."""
+def vector_art(areas: DataFrame, words: DataFrame, tables: DataFrame, pictures: DataFrame, page_w: float, page_h: float) -> DataFrame:
+    """Areas of art worth cropping, with their rank by size on the page; callers that want few filter on it. All tables:
+    page and box; ``areas`` with area_no."""
     size = F.col("w") * F.col("h")
     tiny = (F.greatest("w", "h") < 6) | (size < 36) | (F.least("w", "h") < 2)
     big = areas.filter(~tiny & (size <= 0.6 * page_w * page_h))
@@ -236,7 +249,7 @@ def vector_art(areas: DataFrame, words: DataFrame, tables: DataFrame, pictures:
     kept = big.join(clash, [*PAGE, "area_no"], "left_anti").join(photo, [*PAGE, "area_no"], "left_anti").join(text, [*PAGE, "area_no"], "left")
     kept = kept.filter(F.coalesce("under", F.lit(0.0)) <= 0.3 * size)
     w = Window.partitionBy(*PAGE).orderBy(F.desc(F.col("w") * F.col("h")), "area_no")
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(*PAGE, "area_no", "x", "y", "w", "h", "rank")
+    return kept.withColumn("rank", F.row_number().over(w)).select(*PAGE, "area_no", "x", "y", "w", "h", "rank")
 
 
 def two_colors(pixels: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,6 @@ MIN_PIXELS = 64 * 64
 MAX_PIXELS = 40_000_000
 MIN_BYTES = 8 * 1024
 KEEP_SIZE_ABOVE = 0.85
-WORTH_IT = 0.9
 
 
 def image_usage(images: DataFrame, placements: DataFrame, max_dpi: float = 150.0) -> DataFrame:
@@ -38,19 +37,14 @@ def image_usage(images: DataFrame, placements: DataFrame, max_dpi: float = 150.0
     return j.select("image_id", "w", "h", "scale", side("px_w").alias("out_w"), side("px_h").alias("out_h"))
 
 
-def keep_smaller(candidates: DataFrame) -> DataFrame:
-    """Re-encoded pictures (old_bytes, new_bytes) worth keeping."""
-    return candidates.filter(F.col("new_bytes") < WORTH_IT * F.col("old_bytes"))
-
-
-def dedup_streams(objects: DataFrame, refs: DataFrame, passes: int = 4) -> tuple[DataFrame, DataFrame]:
+def dedup_streams(objects: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Identical objects become the first of them. Returns (id -> kept id for every object, rewritten references).
     ``objects``: id, header, content; ``refs``: src, pos, dst. Merging children can make parents identical, hence the
-    passes. An object's references enter its identity as two sums of seeded hashes, so no list of them is collected."""
+    passes, until one changes nothing. An object's references enter its identity as two sums of seeded hashes, so no list of them is collected."""
     body = objects.select("id", F.length("content").alias("len"), "header", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
     alive = cut_lineage(body.withColumn("kept", F.col("id")))
     links = refs
-    for _ in range(passes):
+    while True:
         mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "pos", "dst").cast("decimal(38,0)"))
         shape = links.groupBy(F.col("src").alias("id")).agg(mark(1).alias("m1"), mark(2).alias("m2"))
         firsts = alive.filter("id = kept").join(shape, "id", "left")
@@ -67,17 +61,16 @@ def dedup_streams(objects: DataFrame, refs: DataFrame, passes: int = 4) -> tuple
     return alive.select("id", "kept"), links
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes the roots lead to (column node). Each round carries only nodes seen for the first time."""
     seen = cut_lineage(roots.select("node").distinct())
     front = seen
-    for _ in range(rounds):
+    while True:
         step = edges.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
         front = cut_lineage(step.join(seen, "node", "left_anti"))
         if front.limit(1).count() == 0:
             return seen
         seen = cut_lineage(seen.unionByName(front))
-    raise RuntimeError("graph is deeper than the number of rounds")
 
 
 def remap_stray_refs(refs: DataFrame, pages: DataFrame, real: DataFrame) -> DataFrame:

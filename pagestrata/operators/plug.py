@@ -27,10 +27,10 @@ def map_cells(df: DataFrame, fn: Callable, schema: str, keys: list[str]) -> Data
 
 
 def fallback_resolver(c: Column, chances: list[Callable]) -> Column:
-    """First answer of up to three font resolvers (Series -> Series), asked in turn: a later one sees only what the
+    """First answer of the font resolvers (Series -> Series), asked in turn: a later one sees only what the
     earlier ones left open."""
     found: list[Column] = []
-    for fn in chances[:3]:
+    for fn in chances:
         open_ = F.when(F.coalesce(*found).isNull(), c) if found else c
         found.append(pandas_udf(fn, "string")(open_))
     return F.coalesce(*found)

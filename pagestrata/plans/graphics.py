@@ -112,7 +112,7 @@ def _(spark, d):
       UNION SELECT b.doc_id, area_no FROM b JOIN p ON p.doc_id=b.doc_id WHERE greatest(0,least(b.x+b.w,p.x+p.w)-greatest(b.x,p.x))*greatest(0,least(b.y+b.h,p.y+p.h)-greatest(b.y,p.y))>0.05*b.w*b.h),
     w AS (SELECT b.doc_id, area_no, sum(greatest(0,least(b.x+b.w,k.x+k.w)-greatest(b.x,k.x))*greatest(0,least(b.y+b.h,k.y+k.h)-greatest(b.y,k.y))) AS u FROM b JOIN (SELECT doc_id, x, y+3 AS y, length(text)*6.0 AS w, h FROM fx_cells) k ON k.doc_id=b.doc_id GROUP BY ALL),
     k AS (SELECT b.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.w*b.h DESC, area_no) AS r FROM b LEFT JOIN w USING (doc_id, area_no) ANTI JOIN c USING (doc_id, area_no) WHERE coalesce(u,0)<=0.3*b.w*b.h)
-    SELECT doc_id, page_no, area_no, x, y, w, h, CAST(r AS INT) AS rank FROM k WHERE r<=40
+    SELECT doc_id, page_no, area_no, x, y, w, h, CAST(r AS INT) AS rank FROM k
     """,
     "fx_fills fx_rows fx_cells",
 )

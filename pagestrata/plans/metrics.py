@@ -104,7 +104,7 @@ fl AS (SELECT *, b_family=a_family OR (b_family='Helvetica' AND a_family='Arial'
 @query(
     "style_agreement",
     f"""
-    WITH {PAIR_SQL}, r AS (SELECT doc_id, count(*) AS ref_words FROM fx_words WHERE regexp_matches(text,'[\\p{{L}}\\p{{N}}_]') GROUP BY doc_id),
+    WITH {PAIR_SQL}, r AS (SELECT doc_id, count(*) AS ref_words FROM fx_words GROUP BY doc_id),
     g AS (SELECT doc_id, count(*) AS words, {",".join(f"sum(CASE WHEN ok_{k} THEN 1 ELSE 0 END)::DOUBLE AS {k}" for k in M.ATTRIBUTES)}, sum(CASE WHEN ok_family AND ok_size AND ok_bold AND ok_italic AND ok_color THEN 1 ELSE 0 END)::DOUBLE AS al FROM fl GROUP BY doc_id)
     SELECT doc_id, words, ref_words, {s4("words/ref_words::DOUBLE")} AS coverage, {",".join(f"{s4(f'{k}/words')} AS {k}" for k in M.ATTRIBUTES)}, {s4("al/words")} AS "all" FROM g JOIN r USING (doc_id)
     """,
@@ -225,16 +225,16 @@ def _(spark, d):
 def raster(spark, d, cand: bool = False):
     """Greys of a page at one pixel per character cell: ink where a letter stands, paper elsewhere."""
     lines = derived.word_lines(spark, d).filter("length(text) > 0")
-    width = 64
     text = F.col("text")
     if cand:
         text = F.concat(F.lit(" "), F.replace("text", F.lit("tion"), F.lit("    ")))
-    codes = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.when(F.substring(text, i, 1).isin("", " "), 255).otherwise(F.ascii(F.substring(text, i, 1)) * 2 % 256).cast("int"))
+    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.when(F.substring(text, i, 1).isin(" "), 255).otherwise(F.ascii(F.substring(text, i, 1)) * 2 % 256).cast("int"))
     return lines.select("doc_id", "page_no", F.col("line_no").alias("y"), codes.alias("greys"))
 
 
 RASTER_SQL = """
-px AS (SELECT doc_id, page_no, line_no AS y, unnest(range(64)) AS x, text FROM fx_lines WHERE length(text)>0),
+wd AS (SELECT doc_id, page_no, line_no AS y, text, max(length(' '||replace(text,'tion','    '))) OVER (PARTITION BY doc_id, page_no) AS w FROM fx_lines WHERE length(text)>0),
+px AS (SELECT doc_id, page_no, y, unnest(range(w)) AS x, text FROM wd),
 ga AS (SELECT doc_id, page_no, y, x, CASE WHEN substr(text,x+1,1) IN ('',' ') THEN 255 ELSE ascii(substr(text,x+1,1))*2%256 END AS g FROM px),
 gb AS (SELECT doc_id, page_no, y, x, CASE WHEN substr(t,x+1,1) IN ('',' ') THEN 255 ELSE ascii(substr(t,x+1,1))*2%256 END AS g FROM (SELECT doc_id, page_no, y, x, ' '||replace(text,'tion','    ') AS t FROM px))
 """
@@ -248,14 +248,14 @@ PAGE = ["doc_id", "page_no"]
     ha AS (SELECT doc_id, page_no, count(*) AS h FROM (SELECT DISTINCT a.doc_id, a.page_no, a.y, a.x FROM a CROSS JOIN n JOIN b ON b.doc_id=a.doc_id AND b.page_no=a.page_no AND b.y=a.y+dy AND b.x=a.x+dx) GROUP BY ALL),
     hb AS (SELECT doc_id, page_no, count(*) AS h FROM (SELECT DISTINCT b.doc_id, b.page_no, b.y, b.x FROM b CROSS JOIN n JOIN a ON b.doc_id=a.doc_id AND b.page_no=a.page_no AND a.y=b.y+dy AND a.x=b.x+dx) GROUP BY ALL),
     na AS (SELECT doc_id, page_no, count(*) AS n_a FROM a GROUP BY ALL), nb AS (SELECT doc_id, page_no, count(*) AS n_b FROM b GROUP BY ALL),
-    j AS (SELECT doc_id, page_no, n_a, n_b, coalesce(ha.h,0)/n_a::DOUBLE AS r, coalesce(hb.h,0)/n_b::DOUBLE AS p FROM na FULL JOIN nb USING (doc_id,page_no) LEFT JOIN ha USING (doc_id,page_no) LEFT JOIN hb USING (doc_id,page_no))
-    SELECT doc_id, page_no, coalesce(n_a,0) AS n_a, coalesce(n_b,0) AS n_b, CASE WHEN n_a IS NULL OR n_b IS NULL OR p+r=0 THEN 0.0::DOUBLE ELSE {s4("2*p*r/(p+r)")} END AS f1 FROM j
+    j AS (SELECT doc_id, page_no, n_a, n_b, coalesce(ha.h,0)/n_a::DOUBLE AS r, coalesce(hb.h,0)/n_b::DOUBLE AS p FROM (SELECT DISTINCT doc_id, page_no FROM ga) LEFT JOIN na USING (doc_id,page_no) LEFT JOIN nb USING (doc_id,page_no) LEFT JOIN ha USING (doc_id,page_no) LEFT JOIN hb USING (doc_id,page_no))
+    SELECT doc_id, page_no, coalesce(n_a,0) AS n_a, coalesce(n_b,0) AS n_b, CASE WHEN n_a IS NULL AND n_b IS NULL THEN 1.0::DOUBLE WHEN n_a IS NULL OR n_b IS NULL OR p+r=0 THEN 0.0::DOUBLE ELSE {s4("2*p*r/(p+r)")} END AS f1 FROM j
     """,
     "fx_lines",
 )
 def _(spark, d):
     a, b = (M.ink_pixels(raster(spark, d, c), PAGE) for c in (False, True))
-    return M.ink_f1(a, b, PAGE, 2)
+    return M.ink_f1(a, b, PAGE, 2, raster(spark, d).select(*PAGE))
 
 
 @query("best_shift")

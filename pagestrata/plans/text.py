@@ -69,7 +69,7 @@ def _(spark, d):
     "slug",
     """
     SELECT slug, count(*) AS n FROM (SELECT CASE WHEN s='' THEN 'doc' ELSE s END AS slug FROM (
-      SELECT substr(regexp_replace(regexp_replace(strip_accents(text),'[^A-Za-z0-9._-]+','-','g'),'^-+|-+$','','g'),1,60) AS s FROM documents)) GROUP BY slug
+      SELECT regexp_replace(regexp_replace(strip_accents(text),'[^A-Za-z0-9._-]+','-','g'),'^-+|-+$','','g') AS s FROM documents)) GROUP BY slug
     """,
 )
 def _(spark, d):

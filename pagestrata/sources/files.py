@@ -88,7 +88,8 @@ def export_text(pages: DataFrame) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.write.mode("append").partitionBy("run").format(fmt).save(path)
+    """Results by run; a run that is written again takes the place of its earlier rows, other runs stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").format(fmt).save(path)
 
 
 def content_key(content: Column) -> Column:

@@ -110,11 +110,15 @@ def progress_stream(stream: DataFrame, expected_ocr: int = 0) -> DataFrame:
 
 def ingest_stream(stream: DataFrame, convert: Callable[[DataFrame], DataFrame], out: str, failed: str, checkpoint: str):
     """Convert arriving documents batch by batch. ``convert`` adds a column ``error`` (null when fine): failures are
-    recorded and the run goes on. A batch replayed after a lost executor rewrites its own folder."""
+    recorded and the run goes on. A batch is converted and written once, apart by whether it failed, and its failures are
+    copied from there; replayed after a lost executor it rewrites its own folders. ``out`` holds ``failed=false`` and
+    ``failed=true`` under each batch."""
 
     def batch(df: DataFrame, number: int) -> None:
-        done = convert(df).withColumn("batch", F.lit(number))
-        done.filter("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        done.filter("error IS NOT NULL").write.mode("overwrite").parquet(f"{failed}/batch={number}")
+        place = f"{out}/batch={number}"
+        done = convert(df).withColumn("failed", F.col("error").isNotNull())
+        done.write.mode("overwrite").partitionBy("failed").parquet(place)
+        kept = df.sparkSession.read.schema(done.schema).parquet(place)
+        kept.filter("failed").drop("failed").write.mode("overwrite").parquet(f"{failed}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

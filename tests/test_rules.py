@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,9 +13,11 @@ from pagestrata.operators import graphics as I
 from pagestrata.operators import layout as H
 from pagestrata.operators import lines as L
 from pagestrata.operators import metrics as M
+from pagestrata.operators import objects as B
 from pagestrata.operators import ocr as O
 from pagestrata.operators import pages as P
 from pagestrata.operators import tables as J
+from pagestrata.operators.common import grouped_map
 from pagestrata.sources import files
 from pagestrata.streaming import events as V
 
@@ -34,7 +37,7 @@ def test_norm_text(spark, raw, want):
     assert one(spark, T.norm_text(F.col("s")), s=raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [("Año Nuevo/3", "Ano-Nuevo-3"), ("***", "doc"), ("a" * 80, "a" * 60)])
+@pytest.mark.parametrize("raw, want", [("Año Nuevo/3", "Ano-Nuevo-3"), ("***", "doc"), ("a" * 80, "a" * 80)])
 def test_slug(spark, raw, want):
     assert one(spark, T.slug(F.col("s")), s=raw) == want
 
@@ -98,7 +101,7 @@ def test_longest_increasing():
         s = [rnd.randint(0, 12) for _ in range(rnd.randint(0, 9))]
         subsets = [[v for i, v in enumerate(s) if m >> i & 1] for m in range(1 << len(s))]
         best = max(len(p) for p in subsets if all(x < y for x, y in zip(p, p[1:])))
-        picked = [s[i] for i in M.longest_increasing(s)]
+        picked = [s[i] for i in M.rising(np.array(s))]
         assert len(picked) == best and all(x < y for x, y in zip(picked, picked[1:]))
 
 
@@ -111,20 +114,24 @@ def test_align_is_increasing_and_equal():
         assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
     words = [f"w{i}" for i in range(30)]
     assert len(M.align(words, words)) == 30
-    assert len(M.align_moved(words, words[15:] + words[:15])) == 30
+    assert len(M.align(words, words[15:] + words[:15], moves=True)) == 30
+    assert M.align("a b a c".split(), "b a c a".split()) == [(1, 0), (2, 1), (3, 2)]
 
 
 def test_order_score(spark):
     words = [f"w{i}" for i in range(40)]
-    rows = spark.createDataFrame([(1, words, words), (2, words, words[20:] + words[:20]), (3, words, ["z"])], "id int, a array<string>, b array<string>")
+    rows = spark.createDataFrame([(1, words, words), (2, words, words[20:] + words[:20]), (3, words, ["z"]), (4, list("abba"), list("abba")), (5, [], [])], "id int, a array<string>, b array<string>")
     got = {r.id: r for r in M.order_score(rows, "a", "b", "id").collect()}
     assert got[1].score == 1.0 and got[1].n == 3
     assert 0.4 < got[2].score < 0.6 and got[3].score is None and got[3].anchors == 0
+    assert [(got[i].n, got[i].anchors, got[i].score) for i in (4, 5)] == [(1, 0, None)] * 2
 
 
 def test_bag_f1_of_itself(spark):
     w = spark.createDataFrame([(1, t) for t in "a b a c".split()], "id int, t string")
     assert M.bag_f1(w, w, "id", "t").first().f1 == 1.0
+    both = {r.id: (r.n_ref, r.f1) for r in M.bag_f1(w, w, "id", "t", spark.createDataFrame([(1,), (2,)], "id int")).collect()}
+    assert both == {1: (4, 1.0), 2: (0, None)}
 
 
 def test_table_match_prefers_best_unused(spark):
@@ -215,7 +222,8 @@ def test_files_words_and_results(spark, tmp_path):
     assert [(r.line, r.paragraph) for r in files.read_words(spark, str(tmp_path / "words")).orderBy("word_no").collect()] == [(0, 0), (1, 1)]
     files.write_results(spark.createDataFrame([("r1", 1, 0.5)], "run string, doc_id int, score double"), str(tmp_path / "res"))
     files.write_results(spark.createDataFrame([("r2", 1, 0.7)], "run string, doc_id int, score double"), str(tmp_path / "res"))
-    assert spark.read.parquet(str(tmp_path / "res")).count() == 2
+    files.write_results(spark.createDataFrame([("r2", 1, 0.8)], "run string, doc_id int, score double"), str(tmp_path / "res"))
+    assert sorted(r.score for r in spark.read.parquet(str(tmp_path / "res")).collect()) == [0.5, 0.8]
 
 
 # ── glyphs, graphics, tables, layout ─────────────────────────────────────────────────────────────────────────────
@@ -245,7 +253,8 @@ def test_clean_fills(spark):
 def test_cluster_boxes_is_transitive(spark):
     b = spark.createDataFrame([(1, 0, i, 10.0 * i, 0.0, 9.0, 5.0) for i in range(6)] + [(1, 0, 9, 200.0, 0.0, 5.0, 5.0)], "doc_id int, page_no int, box_no int, x double, y double, w double, h double")
     assert sorted(r.members for r in I.cluster_boxes(b, 2.0).collect()) == [1, 6]
-    assert sorted(r.members for r in I.cluster_boxes(b, 2.0, busy=3).collect()) == [1, 6]
+    many = spark.createDataFrame([(1, 0, i, 12.0 * (i % 64), 12.0 * (i // 64), 5.0 + 6.0 * (i < 10), 5.0) for i in range(4000)], "doc_id int, page_no int, box_no int, x double, y double, w double, h double")
+    assert sorted(r.members for r in I.cluster_boxes(many, 2.0).collect())[-2:] == [1, 11]
 
 
 def test_two_colors(spark):
@@ -356,5 +365,46 @@ def test_ingest_records_failures(spark, tmp_path):
     w = V.ingest_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), convert, str(tmp_path / "out"), str(tmp_path / "failed"), str(tmp_path / "ck"))
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "out")).filter("NOT failed").count() == 1
     assert spark.read.parquet(str(tmp_path / "failed")).first().error == "damaged"
+
+
+# ── keys, limits and blank pages ─────────────────────────────────────────────────────────────────────────────────
+
+
+def test_groups_of_null_keys_and_across_batches(spark):
+    rows = [(None, i) for i in range(5)] + [(1, i) for i in range(700)] + [(2, 0)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        out = grouped_map(df, ["k"], lambda p: pd.DataFrame({"k": [p["k"].iloc[0]], "n": [len(p)]}), "k double, n int").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r.n for r in out) == [1, 5, 700]
+
+
+def test_page_ranges_beyond_all_bounds(spark):
+    df = spark.createDataFrame([("1-99999999999", 5), ("2-2000000000", 5), ("99999999999", 5), ("2-3", 5)], "s string, n int")
+    got = [(r.p.pages, r.p.error) for r in df.select(T.page_ranges(F.col("s"), F.col("n")).alias("p")).collect()]
+    assert got == [([], "out_of_range")] * 3 + [([2, 3], None)]
+
+
+def test_blank_pages_and_unequal_widths(spark):
+    a = spark.createDataFrame([(1, 0, [0, 255, 255]), (2, 0, [255, 255]), (3, 0, [0])], "p int, y int, greys array<int>")
+    b = spark.createDataFrame([(1, 0, [0]), (2, 0, [255]), (3, 0, [255, 255])], "p int, y int, greys array<int>")
+    ink = {r.p: r.f1 for r in M.ink_f1(M.ink_pixels(a, ["p"]), M.ink_pixels(b, ["p"]), ["p"], 2, a).collect()}
+    assert ink == {1: 1.0, 2: 1.0, 3: 0.0}
+    gray = {r.p: r["diff"] for r in M.gray_diff(a, b, ["p"]).collect()}
+    assert gray[1] == 0.0 and gray[2] == 0.0 and gray[3] == pytest.approx(0.5, abs=1e-4)
+
+
+def test_a_deep_graph_is_followed_to_its_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(130)], "src long, dst long")
+    assert B.reachable(edges, spark.createDataFrame([(0,)], "node long")).count() == 131
+
+
+def test_crowded_pages_keep_their_segments(spark):
+    rules = spark.createDataFrame([(1, 0, "h", float(i), 0.0, 50.0, None) for i in range(5000)], "doc_id int, page_no int, dir string, pos double, a double, b double, style string")
+    fills = spark.createDataFrame([], "doc_id int, page_no int, x double, y double, w double, h double")
+    assert J.table_segments(rules, fills, 1e6).count() == 5000
