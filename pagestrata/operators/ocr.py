@@ -155,23 +155,32 @@ def snap_sizes(lines: DataFrame) -> DataFrame:
     return grouped_map(cols, PAGE, page, f"{schema}, snapped double")
 
 
+MOST_WIDTHS = 20_000
+
+
 def page_family(words: DataFrame, widths: DataFrame) -> DataFrame:
-    """The face whose width proportions explain every line with one size. ``widths``: family, ch, em — a few hundred
-    rows however large the corpus, folded to one map per family and broadcast."""
-    maps = widths.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("ch", "em"))).alias("m"))
+    """The face whose width proportions explain every line with one size. ``widths``: family, ch, em — a table of the
+    feature, not of the corpus; its size is checked, and it becomes a constant of the plan."""
+    told = widths.select("family", "ch", "em").limit(MOST_WIDTHS + 1).collect()
+    if len(told) > MOST_WIDTHS:
+        raise ValueError(f"more than {MOST_WIDTHS} character widths")
+    faces: dict[str, dict[str, float]] = {}
+    for family, ch, em in told:
+        faces.setdefault(family, {})[ch] = em
+    face = lambda name, ems: F.struct(F.lit(name).alias("family"), F.create_map(*[F.lit(v) for pair in ems.items() for v in pair]).alias("m"))
+    maps = F.array(*[face(k, v) for k, v in sorted(faces.items())]) if faces else F.array().cast("array<struct<family:string,m:map<string,double>>>")
     usable = words.filter((F.length("text") >= 2) & (F.col("confidence") >= 60)).select(*LINE, "text", (F.col("x1") - F.col("x0")).alias("w"))
     em = F.aggregate(F.filter(F.split("text", ""), lambda c: c != ""), F.lit(0.0), lambda n, c: n + F.col("m")[c])
-    sized = usable.crossJoin(F.broadcast(maps)).withColumn("em", em).filter("em > 0.3").withColumn("v", F.col("w") / (F.col("em") - 0.05))
+    sized = usable.withColumn("_f", F.explode(maps)).select(*LINE, "text", "w", "_f.family", "_f.m").withColumn("em", em).filter("em > 0.3").withColumn("v", F.col("w") / (F.col("em") - 0.05))
     w = Window.partitionBy(*LINE, "family")
     dev = F.abs(F.ln(F.col("v") / F.percentile("v", F.lit(0.5)).over(w)))
     devs = sized.withColumn("dev", dev).withColumn("n", F.count("*").over(w)).filter("n >= 2")
     spread = devs.groupBy(*PAGE, "family").agg(F.avg("dev").alias("spread"), F.count("*").alias("n"))
-    families = maps.select(F.collect_list("family").alias("all")).select(F.size("all").alias("k"))
     rank = F.array_position(F.array(*[F.lit(f) for f in FACE_HEIGHTS]), F.col("family"))
     ranked = spread.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("spread", rank.alias("rank"), "family"))).alias("s"), F.min("n").alias("n"))
     best, second = F.element_at("s", 1), F.element_at("s", 2)
-    judged = ranked.crossJoin(F.broadcast(families)).select(
-        *PAGE, F.when((F.size("s") == F.col("k")) & (F.col("n") >= 4) & (second["spread"] >= 1.25 * best["spread"]), best["family"]).otherwise("Arial").alias("family")
+    judged = ranked.select(
+        *PAGE, F.when((F.size("s") == len(faces)) & (F.col("n") >= 4) & (second["spread"] >= 1.25 * best["spread"]), best["family"]).otherwise("Arial").alias("family")
     )
     return words.select(*PAGE).distinct().join(judged, PAGE, "left").select(*PAGE, F.coalesce("family", F.lit("Arial")).alias("family"))
 

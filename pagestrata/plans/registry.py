@@ -27,7 +27,7 @@ def with_tables(body: str, tables: tuple[str, ...]) -> str:
     body = body.strip()
     if not order:
         return body
-    head = ",\n".join(f"{n} AS ({derived.SQL[n].strip()})" for n in order)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({derived.SQL[n].strip()})" for n in order)
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
