@@ -125,7 +125,20 @@ def _(spark, d):
     return L.split_tabs(g).groupBy(*L.LINE, "piece").agg(F.count("*").alias("n"), F.min("x").alias("x0"))
 
 
-@query("join_word_spaced_rows")
+@query(
+    "join_word_spaced_rows",
+    """
+    WITH p AS (SELECT doc_id, page_no, line_no AS row_no, word_no, x+word_no%10*10 AS x0, x+w+word_no%10*10 AS x1, y+h AS baseline, size FROM fx_words),
+    g AS (SELECT *, x0-lag(x1) OVER (PARTITION BY doc_id,page_no,row_no ORDER BY x0,word_no) AS gap FROM p),
+    r AS (SELECT doc_id, page_no, row_no, count(*) AS n, max(size) AS em, min(gap) AS lo, max(gap) AS hi, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS l, min(baseline) AS base FROM g GROUP BY ALL),
+    c AS (SELECT *, true AS even FROM r WHERE n>=3 AND lo>0 AND hi<=3*em AND hi-lo<=greatest(0.06*em, 0.08*l[len(l)//2+1])),
+    e AS (SELECT doc_id, page_no, row_no, base, x0 AS edge, floor(x0/1.5) AS strip FROM g JOIN r USING (doc_id,page_no,row_no) WHERE gap IS NOT NULL),
+    m AS (SELECT e.*, c.em, e.strip+k AS s FROM e JOIN c USING (doc_id,page_no,row_no), (SELECT unnest([-1,0,1]) AS k)),
+    b AS (SELECT DISTINCT m.doc_id, m.page_no, m.row_no, true AS tabular FROM m JOIN e o ON o.doc_id=m.doc_id AND o.page_no=m.page_no AND o.strip=m.s WHERE o.row_no<>m.row_no AND abs(o.row_no-m.row_no)<=4 AND abs(o.base-m.base)<=5*m.em AND abs(m.edge-o.edge)<1.5)
+    SELECT doc_id, page_no, row_no, r.n, coalesce(even,false) AND NOT coalesce(tabular,false) AS joined FROM r LEFT JOIN c USING (doc_id,page_no,row_no) LEFT JOIN b USING (doc_id,page_no,row_no)
+    """,
+    "fx_words",
+)
 def _(spark, d):
     w = derived.words(spark, d)
     p = w.select("doc_id", "page_no", F.col("line_no").alias("row_no"), F.col("word_no").alias("piece_no"), (F.col("x") + F.col("word_no") % 10 * 10).alias("x0"), (F.col("x") + F.col("w") + F.col("word_no") % 10 * 10).alias("x1"), (F.col("y") + F.col("h")).alias("baseline"), "size")
@@ -151,7 +164,19 @@ def _(spark, d):
     return L.line_features(derived.glyphs(spark, d))
 
 
-@query("style_runs")
+@query(
+    "style_runs",
+    f"""
+    WITH {FEAT_SQL},
+    g AS (SELECT g.*, fs, bl, sum(CASE WHEN ws THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id,page_no,line_no ORDER BY seq) AS k FROM fx_glyphs g JOIN ft USING (doc_id,page_no,line_no)),
+    t AS (SELECT *, CASE WHEN size<=0.88*fs AND y-bl<-0.12*fs THEN 'super' WHEN size<=0.88*fs AND y-bl>0.08*fs THEN 'sub' ELSE '' END AS lift FROM g WHERE NOT ws),
+    f AS (SELECT *, coalesce(k>lag(k) OVER w OR x-(lag(x) OVER w+lag(ink) OVER w)>CASE WHEN lift<>'' OR lag(lift) OVER w<>'' THEN 0.2*fs ELSE 0.11*fs END, false) AS space, NOT coalesce(family=lag(family) OVER w AND abs(size-lag(size) OVER w)<0.25 AND bold=lag(bold) OVER w AND color=lag(color) OVER w AND lift=lag(lift) OVER w, true) AS fresh, coalesce(lag(lift) OVER w<>'', false) AS up
+      FROM t WINDOW w AS (PARTITION BY doc_id,page_no,line_no ORDER BY seq)),
+    n AS (SELECT *, CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER w AS INT) AS run, concat(CASE WHEN space AND fresh AND up THEN ' ' ELSE '' END, text, CASE WHEN coalesce(lead(space) OVER w AND NOT (lead(fresh) OVER w AND lead(up) OVER w), false) THEN ' ' ELSE '' END) AS p FROM f WINDOW w AS (PARTITION BY doc_id,page_no,line_no ORDER BY seq))
+    SELECT doc_id, page_no, line_no, run, string_agg(p, '' ORDER BY seq) AS text, arg_min(family,seq) AS family, arg_min(size,seq) AS size, arg_min(bold,seq) AS bold, arg_min(color,seq) AS color, arg_min(lift,seq) AS lift, min(x) AS x0, max(x+ink) AS x1 FROM n GROUP BY doc_id, page_no, line_no, run
+    """,
+    "fx_glyphs",
+)
 def _(spark, d):
     g = derived.glyphs(spark, d)
     return L.style_runs(g, L.line_features(g))
