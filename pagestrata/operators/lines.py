@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions.text import let
-from pagestrata.operators.common import bucket_join, grouped_map, half_up, islands, lower_percentile, upper_median, weighted_mode
+from pagestrata.operators.common import bucket_join, grouped_map, half_up, islands, lower_percentile, upper_median
 
 PAGE = ["doc_id", "page_no"]
 LINE = ["doc_id", "page_no", "line_no"]
@@ -226,14 +226,15 @@ def split_tabs(glyphs: DataFrame) -> DataFrame:
     jump = ~F.col("ws") & F.col("_i").isNotNull() & (F.col("_w.seq") > F.col("_i.seq"))
     extra = F.when(jump, F.col("x") - (F.col("_w.x") + F.col("_w.adv")))
     t = t.withColumn("_e", extra).withColumn("_s", F.greatest("size", "_i.size"))
-    med = t.groupBy(*LINE).agg(upper_median(F.col("_e")).alias("_m"), F.count("_e").alias("_jumps"))
-    t = t.join(med, LINE)
+    line = Window.partitionBy(*LINE)  # of bounded length; all windows share one exchange
+    t = t.withColumn("_all", F.array_sort(F.collect_list("_e").over(line)))
+    t = t.withColumn("_jumps", F.size("_all")).withColumn("_m", F.get("_all", F.floor(F.size("_all") / 2).cast("int")))
     wide = F.col("_e") > F.greatest(0.3 * F.col("_s"), 2 * F.greatest(F.lit(0.0), F.col("_m")) + 0.1 * F.col("_s"))
     t = t.withColumn("_tab", F.coalesce(wide, F.lit(False)))
-    tabs = F.count_if("_tab").over(Window.partitionBy(*LINE))
+    tabs = F.count_if("_tab").over(line)
     real = F.col("_tab") & ~((F.col("_jumps") > 2) & (F.col("_tabs") > 0.5 * F.col("_jumps")))
     out = islands(t.withColumn("_tabs", tabs), LINE, ["seq"], real, "piece")
-    return out.drop("_w", "_i", "_e", "_s", "_m", "_jumps", "_tab", "_tabs")
+    return out.drop("_w", "_i", "_e", "_s", "_all", "_m", "_jumps", "_tab", "_tabs")
 
 
 def join_word_spaced_rows(pieces: DataFrame) -> DataFrame:
@@ -258,20 +259,28 @@ def join_word_spaced_rows(pieces: DataFrame) -> DataFrame:
 
 
 def line_features(glyphs: DataFrame) -> DataFrame:
-    """Dominant size, baseline, box and the raised and lowered characters of every line."""
-    inks = glyphs.filter(~F.col("ws"))
-    sized = inks.withColumn("_q", half_up(F.col("size"), 4))
-    size = weighted_mode(sized, LINE, "_q", F.length("text"), "high", "font_size")
-    j = inks.join(size, LINE)
-    main = F.when(F.abs(F.col("size") - F.col("font_size")) <= 0.12 * F.col("font_size"), F.col("y"))
-    base = j.groupBy(*LINE).agg(F.coalesce(lower_percentile(main, 0.5), lower_percentile(F.col("y"), 0.5)).alias("baseline"))
-    k = j.join(base, LINE)
-    small = F.col("size") <= 0.88 * F.col("font_size")
-    off = F.col("y") - F.col("baseline")
-    return k.groupBy(*LINE).agg(
-        F.first("font_size").alias("font_size"), F.first("baseline").alias("baseline"),
-        F.count_if(small & (off < -0.12 * F.col("font_size"))).alias("superscripts"), F.count_if(small & (off > 0.08 * F.col("font_size"))).alias("subscripts"),
-        F.min("x").alias("x0"), F.max(F.col("x") + F.col("ink")).alias("x1"), F.count("*").alias("inks"),
+    """Dominant size, baseline, box and the raised and lowered characters of every line. A line's glyphs are gathered once,
+    as a line is bounded, and all is read from that array."""
+    ink = F.struct(half_up(F.col("size"), 4).alias("q"), F.length("text").alias("n"), "size", "y")
+    lines = glyphs.filter(~F.col("ws")).groupBy(*LINE).agg(F.collect_list(ink).alias("g"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("ink")).alias("x1"))
+
+    def votes(q: Column) -> Column:
+        return F.aggregate(F.filter("g", lambda i: i["q"] == q), F.lit(0), lambda n, i: n + i["n"])
+
+    sizes = F.transform(F.array_distinct(F.transform("g", lambda i: i["q"])), lambda q: F.struct(votes(q).alias("n"), q.alias("q")))
+    sized = lines.withColumn("font_size", F.array_max(sizes)["q"])
+    of_size = F.filter("g", lambda i: F.abs(i["size"] - F.col("font_size")) <= 0.12 * F.col("font_size"))
+    ys = lambda g: F.array_sort(F.transform(g, lambda i: i["y"]))
+    based = sized.withColumn("_ys", F.when(F.size(of_size) > 0, ys(of_size)).otherwise(ys(F.col("g"))))
+    based = based.withColumn("baseline", F.get("_ys", F.floor((F.size("_ys") - 1) / 2).cast("int")))
+
+    def shifted(off) -> Column:
+        return F.size(F.filter("g", lambda i: (i["size"] <= 0.88 * F.col("font_size")) & off(i["y"] - F.col("baseline")))).cast("bigint")
+
+    return based.select(
+        *LINE, "font_size", "baseline",
+        shifted(lambda d: d < -0.12 * F.col("font_size")).alias("superscripts"), shifted(lambda d: d > 0.08 * F.col("font_size")).alias("subscripts"),
+        "x0", "x1", F.size("g").cast("bigint").alias("inks"),
     )
 
 
