@@ -87,16 +87,27 @@ def bucket_join(
     return a.join(b, cond & first, "inner").drop(*drop)
 
 
-def block_offsets(df: DataFrame, keys: Sequence[str], block: Column, amount: Column) -> DataFrame:
-    """Amount before each block of a key. One row per block: the window never sees the underlying rows."""
+#: Blocks that a window of ``block_offsets`` sees at most, but at the top level.
+FAN = 8192
+
+
+def block_offsets(df: DataFrame, keys: Sequence[str], block: Column, amount: Column, levels: int = 2) -> DataFrame:
+    """Amount before each block of a key. Blocks are summed into parents of FAN blocks, those into theirs, so that
+    however sparse the positions of a hot key lie, a window sees FAN blocks of one parent and not all of the key's."""
     per = df.groupBy(*keys, block.alias("_block")).agg(F.sum(amount).alias("_amount"))
-    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(*keys, "_block", F.coalesce(F.sum("_amount").over(w), F.lit(0)).alias("_before"))
+    before = lambda *by: F.coalesce(F.sum("_amount").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not levels:
+        return per.select(*keys, "_block", before(*keys).alias("_before"))
+    parent = F.floor(F.col("_block") / FAN)
+    above = block_offsets(per, keys, parent, F.col("_amount"), levels - 1).select(*keys, F.col("_block").alias("_parent"), F.col("_before").alias("_above"))
+    inside = per.withColumn("_parent", parent).withColumn("_in", before(*keys, "_parent"))
+    return inside.join(above, [*keys, "_parent"]).select(*keys, "_block", (F.col("_in") + F.col("_above")).alias("_before"))
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = 8192) -> DataFrame:
     """Row number per key in ``order`` (an integer position). A key holding a third of all rows is numbered in
-    blocks of its position range: rows are ranked inside a block and shifted by the rows of earlier blocks."""
+    blocks of its position range: rows are ranked inside a block and shifted by the rows of earlier blocks, which are
+    added up level by level."""
     blk = F.floor(F.col(order) / block)
     tagged = df.withColumn("_block", blk)
     offsets = block_offsets(df, keys, blk, F.lit(1))

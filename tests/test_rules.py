@@ -17,7 +17,7 @@ from pagestrata.operators import objects as B
 from pagestrata.operators import ocr as O
 from pagestrata.operators import pages as P
 from pagestrata.operators import tables as J
-from pagestrata.operators.common import grouped_map
+from pagestrata.operators.common import grouped_map, numbered
 from pagestrata.sources import files
 from pagestrata.streaming import events as V
 
@@ -408,3 +408,10 @@ def test_crowded_pages_keep_their_segments(spark):
     rules = spark.createDataFrame([(1, 0, "h", float(i), 0.0, 50.0, None) for i in range(5000)], "doc_id int, page_no int, dir string, pos double, a double, b double, style string")
     fills = spark.createDataFrame([], "doc_id int, page_no int, x double, y double, w double, h double")
     assert J.table_segments(rules, fills, 1e6).count() == 5000
+
+
+def test_sparse_positions_of_a_hot_key_are_numbered_in_parts(spark):
+    rows = [(1, i * 10**6 + i % 7) for i in range(20000)] + [(2, 5), (2, 6), (3, 0)]
+    df = spark.createDataFrame(rows, "k int, pos long").repartition(5)
+    got = {(r.k, r.pos): r.n for r in numbered(df, ["k"], "pos", "n").collect()}
+    assert got == {(k, p): i + 1 for key in (1, 2, 3) for i, (k, p) in enumerate(sorted(x for x in rows if x[0] == key))}
