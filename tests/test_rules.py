@@ -415,3 +415,13 @@ def test_sparse_positions_of_a_hot_key_are_numbered_in_parts(spark):
     df = spark.createDataFrame(rows, "k int, pos long").repartition(5)
     got = {(r.k, r.pos): r.n for r in numbered(df, ["k"], "pos", "n").collect()}
     assert got == {(k, p): i + 1 for key in (1, 2, 3) for i, (k, p) in enumerate(sorted(x for x in rows if x[0] == key))}
+
+
+def test_content_chunks_part_at_jumps_and_follow_letter_spacing(spark):
+    at = [(0.0, 100.0), (5.0, 100.0), (10.0, 100.0), (15.0, 100.0), (300.0, 100.0), (0.0, 200.0), (13.0, 200.0), (26.0, 200.0), (45.0, 200.0)]
+    g = spark.createDataFrame([(1, 0, i, "a", False, x, y, 10.0, 5.0, 5.0) for i, (x, y) in enumerate(at)], "doc_id long, page_no int, seq int, text string, ws boolean, x double, y double, size double, adv double, ink double")
+    stats = spark.createDataFrame([(1, 0, 1.0)], "doc_id long, page_no int, limit double")
+    # Gaps of 8 become the spacing of the line, so a gap of 14 still joins; from a fresh line it would not.
+    assert [r.chunk for r in L.content_chunks(g, stats).orderBy("seq").collect()] == [0, 0, 0, 0, 1, 2, 2, 2, 2]
+    fresh = g.filter("seq < 6").unionByName(g.filter("seq = 8").withColumn("x", F.lit(19.0)))
+    assert [r.chunk for r in L.content_chunks(fresh, stats).orderBy("seq").collect()] == [0, 0, 0, 0, 1, 2, 3]
