@@ -206,7 +206,12 @@ def _shown(rows: DataFrame, key: str) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stand for their group: those whose key is the group's smallest; of several such rows, one.
     All columns stay. Null keys count as the lowest."""
-    found = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(shared.as_key(F.col(key)).alias("_kept")).distinct()
+    return keep_least(docs, near_duplicates(docs, key, text), key, text)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs whose key is its own ``component_id`` in groups; one row a key."""
+    found = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(shared.as_key(F.col(key)).alias("_kept")).distinct()
     rows = docs.withColumn("_kept", shared.as_key(F.col(key))).join(found, "_kept", "left_semi")
     first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.col(text).asc_nulls_first()))
     return rows.withColumn("_place", first).where("_place = 1").drop("_kept", "_place")
