@@ -98,7 +98,7 @@ def _(spark, d):
 
 @query("cluster_boxes")
 def _(spark, d):
-    f = derived.fills(spark, d).filter("w < 100").withColumn("box_no", F.col("paint_order"))
+    f = derived.fills(spark, d).withColumn("box_no", F.col("paint_order"))
     return I.cluster_boxes(f.withColumn("x", F.col("x") + F.col("paint_order") % 30), 9.0)
 
 
