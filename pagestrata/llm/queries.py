@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagestrata.llm import bpe, minhash, neighbours, packing, prefixes, sharding, simhash, substrings, toxicity, urls
+from pagestrata.llm import bpe, minhash, neighbours, packing, periods, phrases, prefixes, sharding, simhash, substrings, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,6 +94,43 @@ def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.edited_and_next(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periods.planted(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    best, line = F.col("strongest"), lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    every = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    return periods.find_runs(docs).select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(spark.read.parquet(f"{folder}/documents.parquet").select("text", "lang"))
+
+
+SQL["op12_phrase_collocations"] = phrases.STATEMENT
+
+
+@query
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.scaled(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"), "embedding", 64)
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+SQL["op13_exact_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

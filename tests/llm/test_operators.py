@@ -47,7 +47,7 @@ def test_every_query_is_registered_once():
     from pagestrata.llm.queries import QUERIES
 
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES if q.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 # -- sharding
