@@ -1,6 +1,6 @@
 """Phrase collocations from lossless counts of word n-grams.
 
-Texts are cut into blocks. Words get numbers in Spark; an n-gram is its words' numbers packed into one number of fixed width,
+Texts are cut into blocks. Words are counted by bucket of their hash and numbered; an n-gram is its words' numbers packed into one number of fixed width,
 which an invertible permutation of that width spreads evenly. The high bits (quotient) choose a bucket, the other bits
 (remainder) are kept whole beside a count: sorted, these are the block's counting quotient filter. A bucket merges the sorted
 filters of all blocks, and undoing the permutation gives the n-grams back, so nothing is approximate and no text travels.
@@ -17,6 +17,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from pagestrata.llm import bpe, shared
 
 LEAST, LONGEST, FIRST = 100, 5, 2000
-#: Characters of a block, characters of the corpus to a bucket, buckets at least, and parts in which words are numbered.
-BLOCK, TO_BUCKET, LEAST_BUCKETS, PARTS = 1 << 23, 1 << 25, 64, 256
+#: Characters of a block, characters of the corpus to a bucket, and buckets at least.
+BLOCK, TO_BUCKET, LEAST_BUCKETS = 1 << 22, 1 << 25, 64
 #: The characters that part pieces, and those that part words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _CUT = bytes.maketrans(ENDS + BLANKS, b"." * len(ENDS) + b" " * len(BLANKS))
@@ -137,9 +138,16 @@ def _wide(data: bytes, n: int) -> np.ndarray:
 # -- blocks of texts
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Per block a row with the words' numbers in it, and a row per language with the words that these numbers mean."""
-    part, number = TaskContext.get().partitionId(), count()
+#: Rows that are no bucket of words: a block's text as numbers, and how many words a language has in it.
+TEXT, TOTAL = -1, -2
+_WORDS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("lang", pa.string()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("locals", pa.binary())])
+_NAMED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("lang", pa.string()), ("first", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("size", pa.int64())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block: int, cut: int) -> Iterator[pa.RecordBatch]:
+    """Per block a row with the text as the block's own numbers for its words; per language how many words it has there; and
+    per bucket the words, joined by a space, how often each occurs and its number in the block."""
+    task, number = TaskContext.get().partitionId(), count()
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in bpe.in_portions(texts, block):
@@ -154,14 +162,59 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Record
                 found.append(np.zeros(1, np.uint32))
             codes = np.concatenate(found)
             times = np.bincount(codes)
-            one = (part << 33) + next(number)
-            rows = [(one, None, codes.astype("<u2" if len(times) < 1 << 16 else "<u4").tobytes(), len(codes), None, None, None)]
+            one = (task << 33) + next(number)
+            rows = [(one, TEXT, None, len(codes), codes.astype("<u2" if len(times) < 1 << 16 else "<u4").tobytes(), b"", b"")]
             for lang, words in known.items():
-                local = np.array([c for w, c in words.items() if w != b"."], np.int64)
-                if len(local):
-                    rows.append((one, lang, None, None, [w.decode() for w in words if w != b"."], times[local], local))
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "lang", "codes", "places", "words", "times", "locals"])
+                words.pop(b".")
+                if not words:
+                    continue
+                spelt, local = list(words), np.fromiter(words.values(), np.int64, len(words))
+                rows.append((one, TOTAL, lang, int(times[local].sum()), b"", b"", b""))
+                bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, spelt), np.uint64, len(spelt)) >> np.uint64(64 - cut)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for part in np.split(order, np.nonzero(np.diff(bucket[order]))[0] + 1):
+                    rows.append((one, int(bucket[part[0]]), lang, len(part), b" ".join([spelt[i] for i in part.tolist()]), _narrow(times[local[part]]), _narrow(local[part])))
+            yield _batch(rows, _WORDS)
+
+
+def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(kind.names)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kind.types, strict=True)], schema=kind)
+
+
+def _merged_words(table: pa.Table, least: int) -> pa.Table:
+    """The words of a bucket that reach ``least``, numbered from 0: a row per language without a block, and for each block the
+    numbers that it gave to such words beside theirs."""
+    rows = table.to_pylist()
+    total: dict[str, defaultdict[bytes, int]] = {}
+    split = [r["keys"].split(b" ") for r in rows]
+    for r, words in zip(rows, split, strict=True):
+        sums = total.setdefault(r["lang"], defaultdict(int))
+        for word, n in zip(words, _wide(r["counts"], r["size"]).tolist(), strict=True):
+            sums[word] += n
+    number: dict[str, dict[bytes, int]] = {}
+    out, fresh, bucket = [], 0, rows[0]["bucket"]
+    for lang in sorted(total):
+        words = sorted(w for w, n in total[lang].items() if n >= least)
+        number[lang] = {w: fresh + i for i, w in enumerate(words)}
+        if words:
+            out.append((None, bucket, lang, fresh, b" ".join(words), _narrow(np.array([total[lang][w] for w in words])), len(words)))
+        fresh += len(words)
+    for r, words in zip(rows, split, strict=True):
+        known, local = number[r["lang"]], _wide(r["locals"], r["size"])
+        at = [i for i, w in enumerate(words) if w in known]
+        if at:
+            out.append((r["block"], bucket, None, 0, _narrow(np.array([known[words[i]] for i in at])), _narrow(local[at]), len(at)))
+    return pa.Table.from_batches([_batch(out, _NAMED)])
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per frequent word: language, spelling, occurrences, and its number among those of all buckets, from 1."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            words = [w.decode() for w in r["keys"].split(b" ")]
+            ids = pa.array(r["before"] + r["first"] + 1 + np.arange(len(words)))
+            yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(words), pa.string()), pa.array(words), pa.array(_wide(r["counts"], len(words))), ids], ["lang", "word", "f", "id"])
 
 
 def _runs(alive: np.ndarray) -> np.ndarray:
@@ -183,9 +236,8 @@ def _filters(batches: Iterator[pa.RecordBatch], words: int, width: int, cut: int
             data = codes.as_buffer()
             local = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
             number = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-            if named.is_valid:
-                pairs = named.values
-                number[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+            for x in named.as_py() or []:
+                number[_wide(x["counts"], x["size"])] = x["before"] + 1 + _wide(x["keys"], x["size"])
             ids = number[local]
             now = ids > 0
             if words > 2:
@@ -211,7 +263,7 @@ def _filters(batches: Iterator[pa.RecordBatch], words: int, width: int, cut: int
                 rest = _without_high(keys, low)
                 for a, b in zip(first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True):
                     rows.append((block.as_py(), int(bucket[a]), b - a, _to_bytes([x[a:b] for x in rest], low), _narrow(times[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+            yield _batch(rows, kind)
 
 
 def _bucket(lanes: list[np.ndarray], bits: int, cut: int) -> np.ndarray:
@@ -248,6 +300,13 @@ def _merged(table: pa.Table, bits: int, cut: int, least: int) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["block", "bucket", "keys", "counts", "flags"])
 
 
+def _word_merger(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _merged_words(table, least)
+
+    return run
+
+
 def _merger(bits: int, cut: int, least: int):
     def run(table: pa.Table) -> pa.Table:
         return _merged(table, bits, cut, least)
@@ -276,17 +335,6 @@ def _read_back(batches: Iterator[pa.RecordBatch], words: int, width: int, cut: i
 # -- counts, scores and ranks in Spark
 
 
-def _numbered(entries: DataFrame, least: int) -> DataFrame:
-    """``lang``, ``word``, ``f`` and ``id`` (from 1) of the words that reach ``least``."""
-    part = F.pmod(F.xxhash64("lang", "word"), F.lit(PARTS)).cast("int")
-    words = shared.keep(entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("part", part), "words")
-    sizes = {r["part"]: r["count"] for r in words.groupBy("part").count().collect()}  # PARTS rows at most
-    before = np.cumsum([0, *(sizes.get(i, 0) for i in range(PARTS))]).tolist()
-    place = F.row_number().over(Window.partitionBy("part").orderBy("lang", "word"))
-    ids = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("part") + 1) + place
-    return shared.keep(words.select("lang", "word", "f", ids.alias("id")), "numbers")
-
-
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, width: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All phrases of up to ``longest`` words that occur ``least`` times or more in their language, as ``ids`` (array of the
     words' numbers) and ``f``; the words' table (``lang``, ``word``, ``f``, ``id``); and ``n``, all word occurrences, by ``lang``.
@@ -295,15 +343,18 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least
     base = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     size = base.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     cut = max((LEAST_BUCKETS - 1).bit_length(), int(size // TO_BUCKET).bit_length())
-    kind = "block long, lang string, codes binary, places long, words array<string>, times array<long>, locals array<long>"
-    told = shared.keep(base.mapInArrow(partial(_blocks, block=block), kind), "blocks")
-    entries = told.where("codes IS NULL").select("block", "lang", F.explode(F.arrays_zip("words", "times", "locals")).alias("x"))
-    entries = entries.select("block", "lang", F.col("x.words").alias("word"), F.col("x.times").alias("n"), F.col("x.locals").alias("local"))
-    totals = shared.keep(entries.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    numbers = _numbered(entries, least)
+    told = shared.keep(base.mapInArrow(partial(_blocks, block=block, cut=cut), "block long, bucket int, lang string, size long, keys binary, counts binary, locals binary"), "blocks")
+    totals = shared.keep(told.where(F.col("bucket") == TOTAL).groupBy("lang").agg(F.sum("size").alias("n")), "totals")
+    words = told.where("bucket >= 0").groupBy("bucket").applyInArrow(_word_merger(least), "block long, bucket int, lang string, first long, keys binary, counts binary, size long")
+    words = shared.keep(words, "words")
+    # One row a bucket: how many numbers the buckets before it have given.
+    found = words.where("block IS NULL").groupBy("bucket").agg(F.sum("size").alias("n"))
+    before = found.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    placed = shared.keep(words.join(before, "bucket"), "placed")
+    numbers = shared.keep(placed.where("block IS NULL").select("lang", "before", "first", "keys", "counts").mapInArrow(_word_rows, "lang string, word string, f long, id long"), "numbers")
     width = width or max(1, int(numbers.agg(F.max("id")).first()[0] or 0).bit_length())
-    named = entries.join(numbers.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("named"))
-    blocks, named = told.where("codes IS NOT NULL").select("block", "codes", "places"), shared.keep(named, "named")
+    named = placed.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("before", "keys", "counts", "size")).alias("named"))
+    blocks = told.where(F.col("bucket") == TEXT).select("block", F.col("keys").alias("codes"), F.col("size").alias("places"))
     grams = numbers.select(F.array("id").alias("ids"), "f")
     alive = replies = None
     for words in range(2, longest + 1):
