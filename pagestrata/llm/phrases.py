@@ -26,7 +26,7 @@ from pagestrata.llm import bpe, shared
 
 LEAST, LONGEST, FIRST = 100, 5, 2000
 #: Characters of a block, characters of the corpus to a bucket, and buckets at least.
-BLOCK, TO_BUCKET, LEAST_BUCKETS = 1 << 22, 1 << 25, 64
+BLOCK, TO_BUCKET, LEAST_BUCKETS = 1 << 21, 1 << 25, 64
 #: The characters that part pieces, and those that part words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _CUT = bytes.maketrans(ENDS + BLANKS, b"." * len(ENDS) + b" " * len(BLANKS))
@@ -175,6 +175,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int, cut: int) -> Iterator
                 for part in np.split(order, np.nonzero(np.diff(bucket[order]))[0] + 1):
                     rows.append((one, int(bucket[part[0]]), lang, len(part), b" ".join([spelt[i] for i in part.tolist()]), _narrow(times[local[part]]), _narrow(local[part])))
             yield _batch(rows, _WORDS)
+            del found, codes, known, rows
+    pa.default_memory_pool().release_unused()
 
 
 def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
@@ -264,6 +266,8 @@ def _filters(batches: Iterator[pa.RecordBatch], words: int, width: int, cut: int
                 for a, b in zip(first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True):
                     rows.append((block.as_py(), int(bucket[a]), b - a, _to_bytes([x[a:b] for x in rest], low), _narrow(times[a:b])))
             yield _batch(rows, kind)
+            del rows, keys, times, at, now, ids, local, data
+    pa.default_memory_pool().release_unused()
 
 
 def _bucket(lanes: list[np.ndarray], bits: int, cut: int) -> np.ndarray:
