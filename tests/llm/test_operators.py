@@ -244,8 +244,6 @@ def test_near_duplicates_against_all_pairs(docs, empty):
     expected = sorted(((k, format(p, "016x"), None if want[i] == -1 else want[i]) for i, ((k, _), p) in enumerate(zip(rows, prints, strict=True))), key=repr)
     assert rows_of(simhash.near_duplicates(docs)) == expected
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(want.values()))
 
 
 @pytest.mark.parametrize(("segments", "block"), [(3, 1 << 14), (2, 1 << 14), (3, 20), (5, 7)])
