@@ -1,15 +1,19 @@
-"""Building blocks shared by the operators: islands, bucketed range joins, two-level numbering, exact medians."""
+"""Building blocks shared by the operators: islands, bucketed range joins, running numbers by range, exact medians."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagestrata.session import cut_lineage
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -87,33 +91,64 @@ def bucket_join(
     return a.join(b, cond & first, "inner").drop(*drop)
 
 
-#: Blocks that a window of ``block_offsets`` sees at most, but at the top level.
-FAN = 8192
-
-
-def block_offsets(df: DataFrame, keys: Sequence[str], block: Column, amount: Column, levels: int = 2) -> DataFrame:
-    """Amount before each block of a key. Blocks are summed into parents of FAN blocks, those into theirs, so that
-    however sparse the positions of a hot key lie, a window sees FAN blocks of one parent and not all of the key's."""
-    per = df.groupBy(*keys, block.alias("_block")).agg(F.sum(amount).alias("_amount"))
-    before = lambda *by: F.coalesce(F.sum("_amount").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if not levels:
-        return per.select(*keys, "_block", before(*keys).alias("_before"))
-    parent = F.floor(F.col("_block") / FAN)
-    above = block_offsets(per, keys, parent, F.col("_amount"), levels - 1).select(*keys, F.col("_block").alias("_parent"), F.col("_before").alias("_above"))
-    inside = per.withColumn("_parent", parent).withColumn("_in", before(*keys, "_parent"))
-    return inside.join(above, [*keys, "_parent"]).select(*keys, "_block", (F.col("_in") + F.col("_above")).alias("_before"))
-
-
-def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = 8192) -> DataFrame:
-    """Row number per key in ``order`` (an integer position). A key holding a third of all rows is numbered in
-    blocks of its position range: rows are ranked inside a block and shifted by the rows of earlier blocks, which are
-    added up level by level."""
-    blk = F.floor(F.col(order) / block)
-    tagged = df.withColumn("_block", blk)
-    offsets = block_offsets(df, keys, blk, F.lit(1))
-    w = Window.partitionBy(*keys, "_block").orderBy(order)
-    joined = tagged.join(offsets, [*keys, "_block"])
-    return joined.withColumn(name, (F.row_number().over(w) + F.col("_before")).cast("bigint")).drop("_block", "_before")
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows dealt by range of keys and order and sorted, so that a key of any size is spread by position: the one exchange
+    that running numbers need. Written as a checkpoint, because ranges come from samples and must not change between two
+    readings. ``_range`` says where a row lies."""
+    every = [*keys, *order]
+    return cut_lineage(df.repartitionByRange(*every).sortWithinPartitions(*every)).withColumn("_range", F.spark_partition_id())
+
+
+def _run_sums(batches: Iterator[pa.RecordBatch], keys: list[int], amount: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one range with the amounts of their key so far, their own included, in the last column."""
+    last, carry = None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        fresh = np.zeros(n, dtype=bool)
+        for k in keys:
+            a, b = batch.column(k).slice(0, n - 1), batch.column(k).slice(1)
+            other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+            fresh[1:] |= other.to_numpy(zero_copy_only=False)
+        head = [batch.column(k)[0].as_py() for k in keys]
+        fresh[0] = head != last
+        total = np.cumsum(pc.fill_null(batch.column(amount), 0).to_numpy(zero_copy_only=False))
+        begins = np.flatnonzero(fresh)
+        before = np.concatenate([[-carry], np.where(begins > 0, total[begins - 1], 0)])
+        so_far = total - before[np.cumsum(fresh)]
+        last, carry = [batch.column(k)[n - 1].as_py() for k in keys], int(so_far[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(so_far, pa.int64())], [*batch.schema.names, "_n"])
+
+
+def running(laid: DataFrame, keys: Sequence[str], name: str, amount: Column | None = None) -> DataFrame:
+    """Sum of ``amount`` (whole numbers, none negative; by default one a row) over a key's rows so far, for rows that
+    ``in_ranges`` has laid out, filtered since or not. A task adds up its own range; only a range's first key can have begun
+    in an earlier one, and what lies before it comes from one row per range. Null keys are one key; an empty table has no rows."""
+    rows = laid.withColumn("_amount", (F.lit(1) if amount is None else amount).cast("bigint"))
+    at = rows.columns
+
+    def summed(df: DataFrame) -> DataFrame:
+        places = [df.columns.index(k) for k in keys], df.columns.index("_amount")
+        return df.mapInArrow(lambda batches: _run_sums(batches, *places), df.withColumn("_n", F.lit(0).cast("bigint")).schema)
+
+    key = F.struct(*keys)
+    ends = summed(rows.select(*keys, "_range", "_amount")).groupBy("_range").agg(F.min(key).alias("_first"), F.max(F.struct(key.alias("k"), "_n")).alias("_end"))
+    ends = ends.select("_range", "_first", F.col("_end.k").alias("_last"), F.col("_end._n").alias("_tail"))
+    ends = ends.withColumn("_upto", F.sum("_tail").over(Window.partitionBy("_last").orderBy("_range")))
+    along = Window.orderBy("_range")  # one row a range
+    earlier = F.when(F.lag("_last").over(along).eqNullSafe(F.col("_first")), F.lag("_upto").over(along))
+    before = ends.select("_range", "_first", F.coalesce(F.when(F.col("_first").eqNullSafe(F.col("_last")), F.col("_upto") - F.col("_tail")).otherwise(earlier), F.lit(0)).alias("_before"))
+    # One row a range: bounded by the partitions of the exchange, however large the table is.
+    joined = summed(rows.select(*at)).join(F.broadcast(before), "_range")
+    number = F.col("_n") + F.when(key.eqNullSafe(F.col("_first")), F.col("_before")).otherwise(0)
+    return joined.select(*[c for c in at if c not in ("_range", "_amount", name)], number.alias(name))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], name: str) -> DataFrame:
+    """Row number per key in the given order, from 1. A key holding most rows, at positions however sparse, is numbered by
+    as many tasks as its share of the rows asks for."""
+    return running(in_ranges(df, keys, [order] if isinstance(order, str) else order), keys, name)
 
 
 def grouped_map(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagestrata.operators.common import block_offsets, numbered
+from pagestrata.operators.common import in_ranges, numbered, running
+from pagestrata.session import cut_lineage
 
 
 def unique_names(df: DataFrame, name: str, order: str, scope: list[str] | None = None) -> DataFrame:
@@ -52,21 +53,17 @@ def select_pages(pages: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def merge_documents(files: DataFrame) -> DataFrame:
-    """Pages of all files of a target in queue order, numbered 1..N: every file starts after the pages of the files
-    before it, so only one row per file is ordered. ``files``: target, file_ord, page_no."""
-    starts = block_offsets(files, ["target"], F.col("file_ord"), F.lit(1)).withColumnRenamed("_block", "file_ord")
-    ranked = numbered(files, ["target", "file_ord"], "page_no", "_n")
-    return ranked.join(starts, ["target", "file_ord"]).withColumn("new_page", (F.col("_n") + F.col("_before")).cast("bigint")).drop("_n", "_before")
+    """Pages of all files of a target in queue order, numbered 1..N. ``files``: target, file_ord, page_no."""
+    return numbered(files, ["target"], ["file_ord", "page_no"], "new_page")
 
 
 def delete_pages(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rest of each document renumbered; documents with nothing or everything chosen are refused (left out)."""
-    marks = chosen.select("doc_id", "page_no").distinct()
-    total = pages.groupBy("doc_id").agg(F.count("*").alias("_total"))
-    hit = pages.join(marks, ["doc_id", "page_no"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("_hit"))
-    open_docs = total.join(hit, "doc_id").filter(F.col("_hit") < F.col("_total")).select("doc_id")
-    kept = pages.join(open_docs, "doc_id", "left_semi").join(marks, ["doc_id", "page_no"], "left_anti")
-    return numbered(kept, ["doc_id"], "page_no", "new_page")
+    marks = chosen.select("doc_id", "page_no", F.lit(True).alias("_gone")).distinct()
+    laid = in_ranges(pages.join(marks, ["doc_id", "page_no"], "left"), ["doc_id"], ["page_no"])
+    touched = laid.filter("_gone").select("doc_id").distinct()
+    rest = running(laid.filter("_gone IS NULL").drop("_gone"), ["doc_id"], "new_page")
+    return rest.join(touched, "doc_id", "left_semi")
 
 
 def invert_selection(pages: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -84,10 +81,12 @@ def reverse_order(pages: DataFrame) -> DataFrame:
 
 
 def move_page(order: DataFrame, moves: DataFrame) -> DataFrame:
-    """Swap a page with its neighbour. ``moves``: doc_id, page_no, delta (-1 or 1); moves past either end do nothing."""
-    at = order.join(moves, ["doc_id", "page_no"]).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.col("delta")).alias("b"))
-    ends = order.groupBy("doc_id").agg(F.max("pos").alias("n"))
-    ok = at.join(ends, "doc_id").filter((F.col("b") >= 1) & (F.col("b") <= F.col("n"))).select("doc_id", "a", "b")
+    """Swap a page with its neighbour. ``moves``: doc_id, page_no, delta (-1 or 1), one a document; moves past either end do
+    nothing. A document's own facts (last place, place and step of the moved page) are one row of an aggregate."""
+    order = cut_lineage(order.select("doc_id", "page_no", "pos"))
+    step = F.max(F.when(F.col("delta").isNotNull(), F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("delta")).alias("b"))))
+    facts = order.join(moves, ["doc_id", "page_no"], "left").groupBy("doc_id").agg(F.max("pos").alias("n"), step.alias("s"))
+    ok = facts.filter((F.col("s.b") >= 1) & (F.col("s.b") <= F.col("n"))).select("doc_id", "s.a", "s.b")
     new = F.when(F.col("pos") == F.col("a"), F.col("b")).when(F.col("pos") == F.col("b"), F.col("a")).otherwise(F.col("pos"))
     return order.join(ok, "doc_id", "left").select("doc_id", "page_no", F.coalesce(new, "pos").alias("pos"))
 

@@ -363,11 +363,13 @@ def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Written once as a checkpoint, as the stored table it stands for."""
     from pagestrata.operators.common import numbered
+    from pagestrata.session import cut_lineage
 
     o = table(spark, folder, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("source_id"))
     k = F.col("source_id")
-    return numbered(o, ["doc_id"], "source_id", "page_no").select(
+    pages = numbered(o, ["doc_id"], "source_id", "page_no").select(
         "doc_id",
         "page_no",
         "source_id",
@@ -377,6 +379,7 @@ def page_set(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit(500.0) + k % 7 * 10).alias("crop_w"),
         (F.lit(700.0) + k % 11 * 10).alias("crop_h"),
     )
+    return cut_lineage(pages)
 
 
 SQL["fx_pages"] = """

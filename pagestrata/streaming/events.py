@@ -6,11 +6,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagestrata.operators.common import block_offsets, grouped_map
+from pagestrata.operators.common import grouped_map, in_ranges, running
 
 HISTORY = 50  # fixed value: undo steps an editor keeps
 
@@ -63,14 +63,11 @@ def editor_state_stream(stream: DataFrame) -> DataFrame:
 READ, OCR, ANALYSE = 1.0, 12.0, 1.5
 
 
-def progress(events: DataFrame, expected_ocr: int = 0, block: int = 8192) -> DataFrame:
+def progress(events: DataFrame, expected_ocr: int = 0) -> DataFrame:
     """Percentage per job, never falling and below 100: events (job, event_id, stage, page, pages). The count of OCR
-    pages so far is added up in blocks, so a job with very many events is not ordered in one task."""
+    pages so far runs along ranges of events, so a job with very many events is not ordered in one task."""
     ocr = F.when(F.col("stage") == "ocr", 1).otherwise(0)
-    blk = F.floor(F.col("event_id") / block)
-    starts = block_offsets(events, ["job"], blk, ocr)
-    w = Window.partitionBy("job", "_block").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("_block", blk).join(starts, ["job", "_block"]).withColumn("k", F.sum(ocr).over(w) + F.col("_before"))
+    e = running(in_ranges(events, ["job"], ["event_id"]), ["job"], "k", ocr)
     return e.groupBy("job").agg(F.max(percent(expected_ocr)).alias("pct"), F.max("k").alias("ocr_pages"), F.count("*").alias("events"))
 
 
