@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions.text import let
 from pagestrata.operators.common import bucket_join, grouped_map, half_up, islands, lower_percentile, upper_median
+from pagestrata.operators.pieces import along, chunk_boxes, content_chunks, group_lines, levelled, line_boxes, rows_of_pieces, spacing_stats, word_gaps  # noqa: F401
 
 PAGE = ["doc_id", "page_no"]
 LINE = ["doc_id", "page_no", "line_no"]
@@ -114,117 +115,16 @@ def dedupe_overprints(glyphs: DataFrame) -> DataFrame:
     return grouped_map(glyphs.select(*cols), PAGE, lambda p: _overprints(p)[cols], _names(glyphs, cols))
 
 
-def _same_line(v: Column, size: Column, pv: Column, psize: Column) -> Column:
-    off, big, small = v - pv, F.greatest(size, psize), F.least(size, psize)
-    return (F.abs(off) <= 0.12 * psize) | ((small <= 0.85 * big) & (F.abs(off) <= 0.6 * big))
-
-
-def spacing_stats(glyphs: DataFrame) -> DataFrame:
-    """How a page writes word spaces and, from that, the widest gap inside a line (in em)."""
-    w = Window.partitionBy(*PAGE).orderBy("seq")
-    spaces = F.sum(F.col("ws").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    inks = glyphs.withColumn("_k", spaces).filter(~F.col("ws") & (F.col("text") != ""))
-    prev = {c: F.lag(c).over(w) for c in ("x", "y", "ink", "size", "_k")}
-    gap = F.col("x") - (prev["x"] + prev["ink"])
-    near = _same_line(F.col("y"), F.col("size"), prev["y"], prev["size"]) & (gap > -0.3 * F.col("size")) & (gap < 1.5 * F.col("size"))
-    saw = F.col("_k") > prev["_k"]
-    g = inks.select(*PAGE, (near & saw).alias("s"), (near & ~saw & (gap > 0.2 * F.col("size"))).alias("p"))
-    counts = g.groupBy(*PAGE).agg(F.count_if("s").alias("space_gaps"), F.count_if("p").alias("positional"))
-    em = glyphs.filter("ws AND size > 0 AND adv > 0").groupBy(*PAGE).agg(upper_median(F.col("adv") / F.col("size")).alias("em"))
-    j = counts.join(em, PAGE, "left").withColumn("em", F.coalesce("em", F.lit(0.28)))
-    spaced = (F.col("space_gaps") >= 8) & (F.col("space_gaps") >= 4 * F.col("positional"))
-    limit = F.when(spaced, F.greatest(F.lit(0.45), F.least(F.lit(1.0), 1.8 * F.least(F.col("em"), F.lit(0.5))))).otherwise(1.0)
-    return j.select(*PAGE, "space_gaps", "positional", "em", spaced.alias("spaced"), limit.alias("limit"))
-
-
-def _joins(prev, g, gaps: list, limit: float) -> bool:
-    big = max(prev.size, g.size)
-    gap = g.x - (prev.x + prev.adv)
-    recent = sorted(gaps[-8:])
-    tracking = max(0.0, recent[len(recent) // 2]) if len(gaps) >= 2 else 0.0
-    off = g.y - prev.y
-    level = abs(off) <= 0.12 * prev.size or (min(prev.size, g.size) <= 0.85 * big and abs(off) <= 0.6 * big)
-    return level and gap >= -max(0.6 * big, prev.adv + 0.1 * big) and (gap - tracking <= limit * big or (prev.ws and gap <= 0.1 * big))
-
-
-def content_chunks(glyphs: DataFrame, stats: DataFrame) -> DataFrame:
-    """Chunk number of glyphs drawn one after the other on a line; letter-spacing is followed as it goes, so a page is
-    one ordered fold."""
-    j = glyphs.join(stats.select(*PAGE, "limit"), PAGE).select(*PAGE, "seq", "text", "ws", "x", "y", "size", "adv", "ink", "limit")
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        chunk, out, prev, gaps = 0, [], None, []
-        for g in pdf.itertuples():
-            if prev is not None:
-                if not _joins(prev, g, gaps, g.limit):
-                    chunk, gaps = chunk + 1, []
-                elif not prev.ws and not g.ws:
-                    gaps.append(g.x - (prev.x + prev.adv))
-            out.append(chunk)
-            prev = g
-        return pdf.assign(chunk=out)[[*PAGE, "seq", "chunk"]]
-
-    return grouped_map(j, PAGE, page, _names(glyphs, [*PAGE, "seq"]) + ", chunk int")
-
-
-def chunk_boxes(glyphs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Extent, baseline and size of chunks that hold ink."""
-    j = glyphs.join(chunks, [*PAGE, "seq"])
-    w = Window.partitionBy(*PAGE, "chunk")
-    j = j.withColumn("_big", F.max(F.when(~F.col("ws"), F.col("size"))).over(w))
-    main = F.when(~F.col("ws") & (F.col("size") >= 0.9 * F.col("_big")), F.col("y"))
-    return (
-        j.filter(~F.col("ws"))
-        .groupBy(*PAGE, "chunk")
-        .agg(F.min("x").alias("u0"), F.max(F.col("x") + F.greatest("ink", F.lit(0.0))).alias("u1"), upper_median(main).alias("base"), F.max("_big").alias("size"))
-    )
-
-
-def group_lines(boxes: DataFrame, stats: DataFrame) -> DataFrame:
-    """Line number of chunks: by baseline then x, each joins the nearest fitting line (a raised or lowered smaller piece
-    fits beside bigger text; overlapping pieces never do). One page per group."""
-    j = boxes.join(stats.select(*PAGE, "limit"), PAGE)
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["base", "u0", "chunk"])
-        lines: list[dict] = []
-        number = []
-        for c in pdf.itertuples():
-            best, at = math.inf, None
-            for k in range(len(lines) - 1, -1, -1):
-                line = lines[k]
-                if c.base - line["base"] > 0.7 * max(line["size"], c.size) + 2:
-                    break
-                big, small = max(line["size"], c.size), min(line["size"], c.size)
-                off = abs(c.base - line["base"])
-                if not (off <= 0.15 * small or (small <= 0.85 * big and off <= 0.6 * big)):
-                    continue
-                if any(min(b, c.u1) - max(a, c.u0) > 0.3 * small for a, b in line["spans"]):
-                    continue
-                gap = min(max(0.0, c.u0 - b if c.u0 >= a else a - c.u1) for a, b in line["spans"])
-                if gap <= c.limit * big and gap < best:
-                    best, at = gap, k
-            if at is None:
-                at = len(lines)
-                lines.append({"base": c.base, "size": c.size, "spans": []})
-            elif c.size > 1.05 * lines[at]["size"]:
-                lines[at].update(base=c.base, size=c.size)
-            lines[at]["spans"].append((c.u0, c.u1))
-            number.append(at)
-        return pdf.assign(line=number)[[*PAGE, "chunk", "line"]]
-
-    return grouped_map(j, PAGE, page, _names(boxes, [*PAGE, "chunk"]) + ", line int")
-
-
 def split_tabs(glyphs: DataFrame) -> DataFrame:
-    """Piece number along a line: a jump after a space that stands out from the line's other jumps is a tab."""
+    """Piece number along a line: a jump after a space that stands out from the line's other jumps is a tab. Jumps are measured
+    along the text, whichever way it runs."""
+    own, glyphs = glyphs.columns, along(glyphs)
     w = Window.partitionBy(*LINE).orderBy("seq")
-    prev_ws = F.last(F.when(F.col("ws"), F.struct(F.col("x"), F.col("adv"), F.col("seq"))), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    prev_ws = F.last(F.when(F.col("ws"), F.struct(F.col("u"), F.col("adv"), F.col("seq"))), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     prev_ink = F.last(F.when(~F.col("ws"), F.struct(F.col("seq"), F.col("size"))), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     t = glyphs.withColumn("_w", prev_ws).withColumn("_i", prev_ink)
     jump = ~F.col("ws") & F.col("_i").isNotNull() & (F.col("_w.seq") > F.col("_i.seq"))
-    extra = F.when(jump, F.col("x") - (F.col("_w.x") + F.col("_w.adv")))
+    extra = F.when(jump, F.col("u") - (F.col("_w.u") + F.col("_w.adv")))
     t = t.withColumn("_e", extra).withColumn("_s", F.greatest("size", "_i.size"))
     line = Window.partitionBy(*LINE)  # of bounded length; all windows share one exchange
     t = t.withColumn("_all", F.array_sort(F.collect_list("_e").over(line)))
@@ -234,7 +134,7 @@ def split_tabs(glyphs: DataFrame) -> DataFrame:
     tabs = F.count_if("_tab").over(line)
     real = F.col("_tab") & ~((F.col("_jumps") > 2) & (F.col("_tabs") > 0.5 * F.col("_jumps")))
     out = islands(t.withColumn("_tabs", tabs), LINE, ["seq"], real, "piece")
-    return out.drop("_w", "_i", "_e", "_s", "_all", "_m", "_jumps", "_tab", "_tabs")
+    return out.select(*own, "piece")
 
 
 def join_word_spaced_rows(pieces: DataFrame) -> DataFrame:
@@ -260,7 +160,8 @@ def join_word_spaced_rows(pieces: DataFrame) -> DataFrame:
 
 def line_features(glyphs: DataFrame) -> DataFrame:
     """Dominant size, baseline, box and the raised and lowered characters of every line. A line's glyphs are gathered once,
-    as a line is bounded, and all is read from that array."""
+    as a line is bounded, and all is read from that array. Places are along and across the text."""
+    glyphs = levelled(glyphs)
     ink = F.struct(half_up(F.col("size"), 4).alias("q"), F.length("text").alias("n"), "size", "y")
     lines = glyphs.filter(~F.col("ws")).groupBy(*LINE).agg(F.collect_list(ink).alias("g"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("ink")).alias("x1"))
 
@@ -286,8 +187,8 @@ def line_features(glyphs: DataFrame) -> DataFrame:
 
 def style_runs(glyphs: DataFrame, features: DataFrame) -> DataFrame:
     """Glyphs of one style join into runs; a space comes from a space glyph or a clear gap and is never doubled. It
-    stays with the run before it, or goes with the text that follows a raised mark."""
-    g = glyphs.join(features.select(*LINE, "font_size", "baseline"), LINE)
+    stays with the run before it, or goes with the text that follows a raised mark. Places are along the text."""
+    g = levelled(glyphs).join(features.select(*LINE, "font_size", "baseline"), LINE)
     w = Window.partitionBy(*LINE).orderBy("seq")
     spaces = F.sum(F.col("ws").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     inks = g.withColumn("_k", spaces).filter(~F.col("ws"))

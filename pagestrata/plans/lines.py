@@ -108,6 +108,54 @@ def _(spark, d):
     return L.group_lines(boxes, stats).join(boxes, ["doc_id", "page_no", "chunk"]).groupBy("doc_id", "page_no", "line").agg(F.count("*").alias("chunks"), F.min("u0").alias("x0"), F.max("u1").alias("x1"))
 
 
+FEAT_SQL = """
+fs AS (SELECT doc_id, page_no, line_no, arg_max(q,n*1000+q) AS fs FROM (SELECT doc_id, page_no, line_no, floor(size*4+0.5)/4 AS q, count(*)::DOUBLE AS n FROM fx_glyphs WHERE NOT ws GROUP BY ALL) GROUP BY ALL),
+bs AS (SELECT doc_id, page_no, line_no, any_value(fs) AS fs, list_sort(list(y) FILTER (abs(size-fs)<=0.12*fs)) AS l FROM fx_glyphs JOIN fs USING (doc_id,page_no,line_no) WHERE NOT ws GROUP BY ALL),
+ft AS (SELECT doc_id, page_no, line_no, fs, l[CAST(floor(0.5*(len(l)-1)) AS INT)+1] AS bl FROM bs)
+"""
+
+
+TURNS = [0, 90, 180, -90]
+
+
+def turned(spark, d):
+    """Glyphs of paragraphs set level, upwards, upside down and downwards, at the places that keeps along and across."""
+    q = F.col("para_no") % 4
+    dx, dy = (F.element_at(F.array(*[F.lit(float(v)) for v in vs]), (q + 1).cast("int")) for vs in ((1, 0, -1, 0), (0, 1, 0, -1)))
+    g = derived.glyphs(spark, d).withColumns({"dx": dx, "dy": dy, "_u": F.col("x"), "_v": F.col("y")})
+    u, v, dx, dy = (F.col(c) for c in ("_u", "_v", "dx", "dy"))
+    return g.withColumns({"x": u * dx - v * dy, "y": u * dy + v * dx}).drop("_u", "_v")
+
+
+@query(
+    "turned_lines",
+    f"""
+    WITH l AS (SELECT doc_id, page_no, ({TURNS})[para_no%4+1] AS turn, y+h AS v, length(text)*6.0::DOUBLE AS w FROM fx_lines WHERE length(text)>0)
+    SELECT doc_id, page_no, CAST(turn AS INT) AS turn, count(*) AS lines, min(72.0::DOUBLE) AS u0, sum(w) AS width, max(w) AS widest FROM l GROUP BY doc_id, page_no, turn
+    """,
+    "fx_lines",
+)
+def _(spark, d):
+    g = turned(spark, d)
+    stats = L.spacing_stats(g)
+    boxes = L.chunk_boxes(g, L.content_chunks(g, stats))
+    lines = L.line_boxes(boxes, L.group_lines(boxes, stats))
+    turn = F.round(F.degrees(F.atan2("dy", "dx"))).cast("int").alias("turn")
+    width = F.col("u1") - F.col("u0")
+    return lines.groupBy("doc_id", "page_no", turn).agg(F.count("*").alias("lines"), F.min("u0").alias("u0"), F.sum(width).alias("width"), F.max(width).alias("widest"))
+
+
+@query(
+    "turned_features",
+    f"""
+    WITH {FEAT_SQL} SELECT doc_id, page_no, line_no, any_value(fs) AS font_size, any_value(bl) AS baseline, min(x) AS x0, max(x+ink) AS x1, count(*) AS inks FROM fx_glyphs JOIN ft USING (doc_id,page_no,line_no) WHERE NOT ws GROUP BY doc_id, page_no, line_no
+    """,
+    "fx_glyphs",
+)
+def _(spark, d):
+    return L.line_features(turned(spark, d)).select(*L.LINE, "font_size", "baseline", "x0", "x1", "inks")
+
+
 @query(
     "split_tabs",
     """
@@ -145,13 +193,6 @@ def _(spark, d):
     return L.join_word_spaced_rows(p)
 
 
-FEAT_SQL = """
-fs AS (SELECT doc_id, page_no, line_no, arg_max(q,n*1000+q) AS fs FROM (SELECT doc_id, page_no, line_no, floor(size*4+0.5)/4 AS q, count(*)::DOUBLE AS n FROM fx_glyphs WHERE NOT ws GROUP BY ALL) GROUP BY ALL),
-bs AS (SELECT doc_id, page_no, line_no, any_value(fs) AS fs, list_sort(list(y) FILTER (abs(size-fs)<=0.12*fs)) AS l FROM fx_glyphs JOIN fs USING (doc_id,page_no,line_no) WHERE NOT ws GROUP BY ALL),
-ft AS (SELECT doc_id, page_no, line_no, fs, l[CAST(floor(0.5*(len(l)-1)) AS INT)+1] AS bl FROM bs)
-"""
-
-
 @query(
     "line_features",
     f"""
