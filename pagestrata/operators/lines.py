@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions.text import let
-from pagestrata.operators.common import bucket_join, grouped_map, half_up, islands, lower_percentile, upper_median
+from pagestrata.operators.common import bucket_join, half_up, islands, lower_percentile, upper_median
 from pagestrata.operators.pieces import along, chunk_boxes, content_chunks, group_lines, levelled, line_boxes, rows_of_pieces, spacing_stats, word_gaps  # noqa: F401
 
 PAGE = ["doc_id", "page_no"]
@@ -57,62 +57,54 @@ def replace_spans(glyphs: DataFrame) -> DataFrame:
     return glyphs.withColumn("text", F.when(F.col("span").isNull(), F.col("text")).when(first, F.col("span_text")).otherwise(""))
 
 
-def _overprints(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Copies of one page's glyphs. A grid of cells a third of a size wide finds earlier glyphs with the same text."""
-    pdf = pdf.sort_values("seq").reset_index(drop=True)
-    text, ws = pdf["text"].to_list(), pdf["ws"].to_numpy()
-    x, y, size = (pdf[c].to_numpy() for c in ("x", "y", "size"))
-    color, hid = pdf["color"].to_list(), pdf["invisible"].to_numpy()
-    bold = pdf["bold"].to_numpy().copy()
-    n = len(pdf)
-    gone = np.zeros(n, dtype=bool)
-    cells: dict = {}
-
-    def alike(i, j, ox, oy, tol):
-        return 0 <= i < n and 0 <= j < n and text[i] == text[j] != "" and not ws[j] and abs(size[i] - size[j]) < 0.15 * size[i] and abs(x[j] - x[i] - ox) <= tol and abs(y[j] - y[i] - oy) <= tol
-
-    def copy_of(i):
-        cell = max(1.0, 0.3 * size[i])
-        at = math.floor(x[i] / cell), math.floor(y[i] / cell)
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                for j in reversed(cells.get((text[i], at[0] + dx, at[1] + dy), ())):
-                    ox, oy = x[i] - x[j], y[i] - y[j]
-                    dist = math.hypot(ox, oy)
-                    if gone[j] or abs(size[j] - size[i]) > 0.15 * size[i] or dist > 0.3 * size[i]:
-                        continue
-                    tol = 0.02 * size[i] + 0.05
-                    with_next = j + 1 != i and alike(j + 1, i + 1, ox, oy, tol)
-                    with_prev = i - 1 != j and alike(j - 1, i - 1, ox, oy, tol)
-                    if dist < 0.06 * size[i] or with_next or with_prev:
-                        return at, j, dist
-        return at, None, 0.0
-
-    for i in range(n):
-        if not text[i] or ws[i]:
-            continue
-        at, j, dist = copy_of(i)
-        if j is not None:
-            if hid[i] and not hid[j]:
-                gone[i] = True
-                continue
-            gone[j] = True
-            if not hid[i] and not hid[j] and color[i] == color[j] and 0.004 * size[i] < dist < 0.06 * size[i]:
-                bold[i] = True
-        cells.setdefault((text[i], *at), []).append(i)
-    for i in np.flatnonzero(ws):
-        before, after = i > 0 and gone[i - 1], i + 1 < n and gone[i + 1]
-        ends = i + 1 >= n or gone[i + 1] or ws[i + 1]
-        begins = i == 0 or gone[i - 1]
-        if not gone[i] and ((before and ends) or (after and begins)):
-            gone[i] = True
-    return pdf.assign(bold=bold)[~gone]
-
-
 def dedupe_overprints(glyphs: DataFrame) -> DataFrame:
-    """One glyph per overprinted copy, the one on top; copies struck a hair apart become bold. One page per group."""
+    """One glyph per overprinted copy, the one on top; copies struck a hair apart become bold. Directions (dx, dy) must agree.
+
+    A glyph meets the earlier ones of its text in the cells around it, by an equality join. A pair at less than 0.06 em is a
+    copy, one at up to 0.3 em if the next or the last glyph of both is shifted alike. Of a chain of copies each strikes out the
+    one under it, but an invisible one never a visible one: it goes itself while that one stands. Blanks go with the struck
+    glyphs around them."""
     cols = [*PAGE, "seq", "text", "ws", "x", "y", "size", "color", "bold", "invisible"]
-    return grouped_map(glyphs.select(*cols), PAGE, lambda p: _overprints(p)[cols], _names(glyphs, cols))
+    w = Window.partitionBy(*PAGE).orderBy("seq")
+    side = ("seq", "text", "ws", "x", "y", "size")
+    beside = [f"{at}_{c}" for at in ("prev", "next") for c in side]
+    g = along(glyphs).select(*cols, "dx", "dy").withColumns({f"prev_{c}": F.lag(c).over(w) for c in side} | {f"next_{c}": F.lead(c).over(w) for c in side})
+    inks = g.filter(~F.col("ws") & (F.col("text") != ""))
+    inks = inks.withColumn("_c", F.greatest(F.lit(1.0), 0.6 * F.max("size").over(Window.partitionBy(*PAGE, "text"))))
+    here = {"_cx": F.floor(F.col("x") / F.col("_c")), "_cy": F.floor(F.col("y") / F.col("_c"))}
+    reach = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 0.3 * F.col("size")) / F.col("_c")), F.floor((F.col(c) + 0.3 * F.col("size")) / F.col("_c")))))
+    tops = inks.withColumn("_cx", reach("x")).withColumn("_cy", reach("y")).drop("bold")
+    unders = inks.withColumns(here).select(*PAGE, "text", "_cx", "_cy", *[F.col(c).alias(f"u_{c}") for c in ("seq", "x", "y", "size", "color", "invisible", "dx", "dy", *beside)])
+    ox, oy, size = F.col("x") - F.col("u_x"), F.col("y") - F.col("u_y"), F.col("size")
+    dist, slack = F.hypot(ox, oy), 0.02 * F.col("size") + 0.05
+
+    def alike(at: str) -> Column:
+        u, t = ({c: F.col(f"{who}{at}_{c}") for c in side} for who in ("u_", ""))
+        return (u["text"] == t["text"]) & (t["text"] != "") & ~t["ws"] & (F.abs(u["size"] - t["size"]) < 0.15 * u["size"]) & (F.abs(t["x"] - u["x"] - ox) <= slack) & (F.abs(t["y"] - u["y"] - oy) <= slack)
+
+    after = alike("next") & (F.col("u_next_seq") != F.col("seq"))
+    before = alike("prev") & (F.col("prev_seq") != F.col("u_seq"))
+    shifted = F.coalesce(after, F.lit(False)) | F.coalesce(before, F.lit(False))
+    copy = (F.col("u_seq") < F.col("seq")) & (F.abs(F.col("u_size") - size) <= 0.15 * size) & (F.abs(F.col("u_dx") - F.col("dx")) <= 1e-3) & (F.abs(F.col("u_dy") - F.col("dy")) <= 1e-3)
+    pairs = tops.join(unders, [*PAGE, "text", "_cx", "_cy"]).filter(copy & (dist <= 0.3 * size) & ((dist < 0.06 * size) | shifted))
+    yields = F.col("invisible") & ~F.col("u_invisible")
+    hair = ~F.col("invisible") & ~F.col("u_invisible") & (F.col("color") == F.col("u_color")) & (dist > 0.004 * size) & (dist < 0.06 * size)
+    pairs = pairs.select(*PAGE, "seq", "u_seq", yields.alias("_yields"), hair.alias("_hair"))
+    struck_by = F.min(F.when(~F.col("_yields"), F.col("seq"))).over(Window.partitionBy(*PAGE, "u_seq"))
+    live = pairs.withColumn("_by", struck_by).filter(F.col("_by").isNull() | (F.col("_by") >= F.col("seq")))
+    told = live.select(*PAGE, "seq", F.col("_yields").alias("_gone"), (F.col("_hair") & ~F.col("_yields")).alias("_hair"))
+    told = told.unionByName(live.filter(~F.col("_yields")).select(*PAGE, F.col("u_seq").alias("seq"), F.lit(True).alias("_gone"), F.lit(False).alias("_hair")))
+    marks = told.groupBy(*PAGE, "seq").agg(F.max("_gone").alias("_gone"), F.max("_hair").alias("_hair"))
+    t = g.select(*cols).join(marks, [*PAGE, "seq"], "left").withColumns({"_gone": F.coalesce("_gone", F.lit(False)), "bold": F.col("bold") | F.coalesce("_hair", F.lit(False))})
+    ink_gone = F.when(~F.col("ws"), F.col("_gone"))
+    t = t.withColumns({
+        "_left": F.coalesce(F.last(ink_gone, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)),
+        "_right": F.coalesce(F.first(ink_gone, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(False)),
+        "_to": F.lead("ws").over(w), "_from": F.lag("ws").over(w),
+    })
+    last_blank = (F.col("_left") & (F.col("_right") | F.col("_to").isNull())) | (F.col("_from").isNull() & F.col("_right"))
+    blank_gone = F.when(F.coalesce("_to", F.lit(False)), F.col("_left")).otherwise(last_blank)
+    return t.filter(~F.when(F.col("ws"), blank_gone).otherwise(F.col("_gone"))).select(*cols)
 
 
 def split_tabs(glyphs: DataFrame) -> DataFrame:
