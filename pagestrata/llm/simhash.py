@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pagestrata.llm import bpe, components, shared
 
 SEED, WORDS, RADIUS = 42, 4, 4
+#: Segments of a fingerprint: radii 1, 1 and 0, 45 table entries, at every size of the corpus.
+SEGMENTS = 3
 #: Fingerprints of one table entry that a task compares at once; beyond it, entries are cut into blocks met pair by pair.
 BLOCK = 1 << 14
-#: Distinct fingerprints from which two long segments are cheaper than three short ones. The links are the same either way.
-TWO_SEGMENTS = 1 << 24
 
 
 def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
@@ -160,10 +160,9 @@ def link_entries(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         yield from work(pa.Table.from_batches(held))
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, segments: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_links(classes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
     """Links ``a``, ``b`` that connect whatever of ``classes`` (``print`` and ``id``, both distinct) lies within the radius:
     not every pair, but a forest of each entry's pairs, so that no link between components is lost."""
-    segments = segments or (3 if classes.count() < TWO_SEGMENTS else 2)
     plan = balls(segments, radius)
     key = lambda n, low, width, mask: (F.shiftrightunsigned("print", low).bitwiseAND((1 << width) - 1)).bitwiseXOR(F.lit(mask)) + (n << 40)
     homes = classes.select("print", "id", F.explode(F.array(*[key(n, low, w, 0) for n, low, w, _ in plan])).alias("entry"))
@@ -182,7 +181,7 @@ def near_links(classes: DataFrame, radius: int = RADIUS, segments: int | None =
     return dealt.mapInArrow(lambda batches: link_entries(batches, radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
     """One row per document: key, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest key it reaches over
     links of at most ``radius`` differing bits.
 
