@@ -1,9 +1,10 @@
 """Packing of pieces into sequences of fixed capacity.
 
 The lengths' histogram, at most one row a length, goes to the driver. There a configuration linear program (how many sequences
-of each mix of length classes) is solved by multiplicative weights, each round pricing the best mix by a knapsack dynamic
-program; rounding turns mixes into sequences of true lengths, filling what is left with the longest piece that fits. The plan
-is bounded by the capacity, not by the corpus; every piece then finds its place from its length and its rank among equals."""
+of each mix of lengths) is solved by multiplicative weights, each round pricing all mixes by a knapsack dynamic program; rounding
+turns mixes into sequences, and the program is solved again for what is left. Only the last of it, a hundredth or less where
+mixes are many, goes by the longest piece that fits. The plan is bounded by the capacity, not by the corpus; every piece then
+finds its place from its length and its rank among equals."""
 
 from __future__ import annotations
 
@@ -17,49 +18,65 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm import bpe, shared
 
-#: Length classes of the linear program, its rounds, and the parts in which equal lengths are ranked.
-CLASSES, ROUNDS, BLOCKS = 128, 600, 256
+#: Rounds of the linear program, the share of each length that a round may cover, how fast a length's weight falls with the
+#: share covered, how far below the best mix's value a mix may lie, and the share of all sequences at which the
+#: program is not solved again for what its rounding left.
+ROUNDS, STEP, RATE, NEAR, LEFT = 120, 0.02, 4.0, 0.02, 0.01
+#: Parts in which equal lengths are ranked.
+BLOCKS = 256
 
 
-def price_mix(value: np.ndarray, have: np.ndarray) -> list[int]:
-    """The classes (size k + 1 each, repeats allowed) of the most valuable mix of size len(value): a knapsack by size."""
-    room = len(value)
-    sizes = np.nonzero(have)[0] + 1
+def best_values(price: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack by size: for every room the most valuable mix of sizes (repeats allowed), and the size to take there (0:
+    the mix is that of one less room)."""
+    worth = np.where(price > 0, price, -np.inf)
     best, taken = np.zeros(room + 1), np.zeros(room + 1, np.int64)
     for c in range(1, room + 1):
-        fit = sizes[: np.searchsorted(sizes, c, side="right")]
-        best[c] = best[c - 1]
-        if len(fit):
-            worth = best[c - fit] + value[fit - 1]
-            k = int(np.argmax(worth))
-            if worth[k] > best[c]:
-                best[c], taken[c] = worth[k], fit[k]
-    mix, c = [], room
-    while c > 0:
-        if taken[c]:
-            mix.append(int(taken[c]) - 1)
-            c -= int(taken[c])
-        else:
-            c -= 1
-    return mix
-
-
-def solve_mixes(demand: np.ndarray) -> list[tuple[tuple[int, ...], float]]:
-    """A fractional cover of the classes' demand: (mix, times). Weights fall exponentially with the share covered, a mix is
-    taken until the class it exhausts first is covered by a step, and the sum is scaled down to the share that all have."""
-    have = demand > 0
-    share, times = np.zeros(len(demand)), {}
-    step, rate = 0.25, 4.0
-    for _ in range(ROUNDS if have.any() else 0):
-        weight = np.where(have, np.exp(-rate * (share - share[have].min())), 0.0)
-        mix = tuple(price_mix(weight / np.maximum(demand, 1), have))
-        held = np.bincount(mix, minlength=len(demand))
-        used = held > 0
-        amount = step * float((demand[used] / held[used]).min())
-        share[used] += amount * held[used] / demand[used]
-        times[mix] = times.get(mix, 0.0) + amount
-    whole = max(1.0, float(share[have].max())) if have.any() else 1.0
-    return [(mix, x / whole) for mix, x in times.items()]
+        value = worth[: c + 1] + best[c::-1]
+        value[0] = best[c - 1]
+        taken[c] = value.argmax()
+        best[c] = value[taken[c]]
+    return best, taken
+
+
+def solve_mixes(demand: np.ndarray) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """How often each mix ((size, how many), largest first) of total size below len(demand) is used, and a lower bound of the
+    configuration linear program that covers demand[size]. The result covers every size; its sum over the bound is the gap.
+
+    A size's price starts at the size itself (the dual solution of the bound by total size) and falls exponentially with the
+    share covered. Each round prices all mixes by one knapsack; for every size the best mix that holds it is taken if its value
+    is near the best, as often as no size is covered by more than a step. Any prices bound the program from below: their worth
+    of the demand over the best mix. At the end all is divided by the smallest share covered."""
+    room, size = len(demand) - 1, np.arange(len(demand), dtype=float)
+    have, need = np.nonzero(demand)[0], demand.astype(float)
+    share, times = np.zeros(room + 1), {}
+    bound = float((size * need).sum()) / max(1, room)
+    done = 0
+    while len(have) and (done < ROUNDS or not share[have].all()):
+        done += 1
+        price = np.zeros(room + 1)
+        price[have] = size[have] * np.exp(-RATE * (share[have] - share[have].min()))
+        best, taken = best_values(price, room)
+        bound = max(bound, float((price * need).sum() / best[room]))
+        value, budget = price[have] + best[room - have], STEP * need
+        for i in np.lexsort((-have, -value)).tolist():
+            if value[i] < (1 - NEAR) * best[room]:
+                break
+            mix, left = {int(have[i]): 1}, room - int(have[i])
+            while left:
+                x = int(taken[left])
+                if x:
+                    mix[x] = mix.get(x, 0) + 1
+                left -= max(1, x)
+            amount = min(budget[x] / n for x, n in mix.items())
+            if amount > 1e-9 * need[have[i]]:
+                for x, n in mix.items():
+                    budget[x] -= amount * n
+                    share[x] += amount * n / need[x]
+                key = tuple(sorted(mix.items(), reverse=True))
+                times[key] = times.get(key, 0.0) + amount
+    least = float(share[have].min()) if len(have) else 1.0
+    return {mix: x / least for mix, x in times.items()}, bound
 
 
 class Stock:
@@ -83,27 +100,26 @@ class Stock:
 
 def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Sequences that use up counts[length] pieces of every length up to capacity: ([(length, how many)], sequences alike)."""
-    width = -(-capacity // CLASSES)
-    kind = (np.arange(capacity + 1) - 1 + width // 2) // width  # a class stands for lengths about (k + 1) * width
-    kind = np.clip(kind - 1, 0, -(-capacity // width) - 1)
-    demand = np.bincount(kind[1:], weights=counts[1:], minlength=-(-capacity // width))
-    stock, plan = Stock(counts), []
-
-    def fill(mix: tuple[int, ...], most: int) -> int:
-        held: dict[int, int] = {}
-        gap = capacity
-        for k in sorted(mix, reverse=True):
-            for length in range(min(gap, (k + 1) * width + width // 2), 0, -1):
-                if kind[length] < k:
-                    break
-                if kind[length] == k and stock.counts[length] > held.get(length, 0):
-                    held[length] = held.get(length, 0) + 1
-                    gap -= length
-                    break
+    return solve_and_round(counts, capacity)[0]
+
+
+def solve_and_round(counts: np.ndarray, capacity: int) -> tuple[list[tuple[list[tuple[int, int]], int]], list[dict]]:
+    """The sequences of ``plan_sequences``, and for every solution of the program its ``value`` (sequences of the fractional
+    cover), its lower ``bound`` and the sequences ``placed`` by its rounding.
+
+    Rounding goes through the mixes in the order of their sizes and gives each the whole part of what has added up, so that
+    neighbouring mixes share what their fractions leave; a mix stops where a size of it has run out, and no size is covered
+    twice. What is left is solved again until it, or what a solution places, is at most LEFT of all; the longest piece that fits
+    then fills the rest. A solution takes time in the square of the capacity, whatever the number of pieces."""
+    stock, plan, told = Stock(counts), [], []
+
+    def fill(mix: tuple[tuple[int, int], ...], most: int) -> int:
+        held = dict(mix)
+        gap = capacity - sum(x * n for x, n in mix)
         look = gap
         while look and (length := stock.longest(look)):
             more = min(gap // length, int(stock.counts[length]) - held.get(length, 0))
-            if more:
+            if more > 0:
                 held[length] = held.get(length, 0) + more
                 gap -= more * length
             look = min(gap, length - 1)
@@ -113,13 +129,23 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[i
         plan.append((sorted(held.items(), reverse=True), alike))
         return alike
 
-    for mix, times in sorted(solve_mixes(demand), key=lambda m: (-m[1], m[0])):
-        left = int(times)
-        while left and stock.longest(capacity):
-            left -= fill(mix, left)
+    lengths = np.arange(capacity + 1)
+    whole = int((lengths * stock.counts).sum())
+    while int((lengths * stock.counts).sum()) > LEFT * whole:
+        mixes, bound = solve_mixes(stock.counts)
+        placed, due = 0, 0.5
+        for mix, times in sorted(mixes.items(), reverse=True):
+            due += times
+            most, due = int(due), due % 1
+            while most and (most := min([most, *(int(stock.counts[x]) // n for x, n in mix)])):
+                alike = fill(mix, most)
+                placed, most = placed + alike, most - alike
+        told.append({"value": sum(mixes.values()), "bound": bound, "placed": placed})
+        if placed * capacity <= LEFT * whole:
+            break
     while longest := stock.longest(capacity):
         fill((), int(stock.counts[longest]))
-    return plan
+    return plan, told
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

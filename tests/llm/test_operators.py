@@ -184,6 +184,36 @@ def test_plan_uses_every_piece_once():
         assert sum(n for _, n in plan) <= 1.002 * best_fit_decreasing(counts, 128) + 1
 
 
+def longest_fit(counts, capacity):
+    left, made = counts.copy(), 0
+    while left.any():
+        gap, made = capacity, made + 1
+        while (fits := np.nonzero(left[: gap + 1])[0]).size:
+            left[fits[-1]] -= 1
+            gap -= int(fits[-1])
+    return made
+
+
+def test_sequences_come_from_the_program():
+    """Nine tenths and more are mixes of the program, it is a cover within its gap, and it is never worse than filling alone."""
+    rng = np.random.RandomState(5)
+    long = np.bincount(np.minimum(rng.lognormal(5.0, 1.0, 9000).astype(int) + 1, 512), minlength=513)
+    few = np.bincount(rng.randint(1, 129, 400), minlength=129)
+    for counts in (long, few, long * 1000):
+        capacity = len(counts) - 1
+        plan, told = packing.solve_and_round(counts, capacity)
+        made = sum(n for _, n in plan)
+        assert sum(x["placed"] for x in told) >= 0.9 * made
+        assert made <= longest_fit(counts, capacity) if counts.sum() < 100_000 else made <= 1.001 * -(-(counts * np.arange(capacity + 1)).sum() // capacity)
+        mixes, bound = packing.solve_mixes(counts)
+        cover = np.zeros(capacity + 1)
+        for mix, times in mixes.items():
+            assert sum(x * n for x, n in mix) <= capacity
+            for x, n in mix:
+                cover[x] += times * n
+        assert (cover >= counts * (1 - 1e-9)).all() and bound <= made and sum(mixes.values()) <= 1.5 * bound
+
+
 def test_pieces_lie_side_by_side(docs, empty):
     pieces = packing.token_pieces(docs, WORD, 64, keep_ids=True)
     out = packing.pack(pieces, 64).collect()
