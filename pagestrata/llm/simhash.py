@@ -18,7 +18,7 @@ from pagestrata.llm import bpe, components, shared
 SEED, WORDS, RADIUS = 42, 4, 4
 #: Segments of a fingerprint: radii 1, 1 and 0, 45 table entries, at every size of the corpus.
 SEGMENTS = 3
-#: Fingerprints of one table entry that a task compares at once; beyond it, entries are cut into blocks met pair by pair.
+#: Fingerprints and probes of one table entry that a task compares at once; beyond it, both are cut into blocks met pair by pair.
 BLOCK = 1 << 14
 
 
@@ -127,7 +127,10 @@ def link_entries(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         first_h, first_p = np.cumsum(have_h) - have_h, np.cumsum(have_p) - have_p
         pairs = have_h * have_p
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        small = np.nonzero((pairs > 1) & (pairs <= 4096))[0]
+        met = pairs > 1
+        one = np.nonzero(pairs == 1)[0]
+        met[one] = h[first_h[one]] != p[first_p[one]]  # a lone fingerprint meets itself
+        small = np.nonzero(met & (pairs <= 4096))[0]
         for part in np.array_split(small, max(1, int(pairs[small].sum()) >> 22)):
             n = pairs[part]
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -162,20 +165,28 @@ def link_entries(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
 
 def near_links(classes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
     """Links ``a``, ``b`` that connect whatever of ``classes`` (``print`` and ``id``, both distinct) lies within the radius:
-    not every pair, but a forest of each entry's pairs, so that no link between components is lost."""
+    not every pair, but a forest of each entry's pairs, so that no link between components is lost. Entries whose own
+    fingerprints or whose probes may pass a block are cut into blocks of both, met pair by pair."""
     plan = balls(segments, radius)
     key = lambda n, low, width, mask: (F.shiftrightunsigned("print", low).bitwiseAND((1 << width) - 1)).bitwiseXOR(F.lit(mask)) + (n << 40)
     homes = classes.select("print", "id", F.explode(F.array(*[key(n, low, w, 0) for n, low, w, _ in plan])).alias("entry"))
-    crowded = homes.groupBy("entry").count().where(F.col("count") > block).select("entry", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    held = homes.groupBy("entry").count()
+    most = max(len(masks) for _, _, _, masks in plan)
+    heavy = held.where(F.col("count") > block / most)  # no other entry can be crowded by less than one of these nearby
+    balls_of = F.element_at(F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for _, _, _, masks in plan]), F.shiftright("entry", 40).cast("int") + 1)
+    near = heavy.select(F.explode(F.transform(balls_of, lambda m: F.col("entry").bitwiseXOR(m))).alias("entry"), F.col("count").alias("sent"))
+    bound = F.sum("sent") + (most - F.count("*")) * (block / most)  # probes: those of heavy entries, and what the others may send
+    probed = near.groupBy("entry").agg(F.ceil(bound / block).cast("int").alias("probe_parts"))
+    crowded = held.join(probed, "entry").where("probe_parts > 1").select("entry", F.ceil(F.col("count") / block).cast("int").alias("home_parts"), "probe_parts")
     around = F.array(*[F.struct(key(n, low, w, m).alias("entry"), F.lit(m == 0).alias("home")) for n, low, w, masks in plan for m in masks])
     rows = classes.select("print", "id", F.explode(around).alias("x")).select("print", "id", "x.entry", "x.home")
-    parts = F.coalesce("parts", F.lit(1))
-    mine = F.pmod(F.xxhash64("print"), parts).cast("int")
-    spread = rows.join(crowded, "entry", "left").select("entry", "print", "id", "home", F.col("parts"), mine.alias("mine"))
-    whole = spread.where("parts IS NULL").select("entry", F.lit(0).alias("left"), F.lit(0).alias("right"), "print", "id", "home", F.lit(True).alias("probes"))
-    many = spread.where("parts IS NOT NULL").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    as_home = many.where("home").select("entry", F.col("mine").alias("left"), F.col("other").alias("right"), "print", "id", "home", F.lit(False).alias("probes"))
-    as_probe = many.select("entry", F.col("other").alias("left"), F.col("mine").alias("right"), "print", "id", F.lit(False).alias("home"), F.lit(True).alias("probes"))
+    spread = rows.join(crowded, "entry", "left")
+    mine = lambda parts: F.pmod(F.xxhash64("print"), F.col(parts)).cast("int")
+    every_part = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    whole = spread.where("probe_parts IS NULL").select("entry", F.lit(0).alias("left"), F.lit(0).alias("right"), "print", "id", "home", F.lit(True).alias("probes"))
+    many = spread.where("probe_parts IS NOT NULL")
+    as_home = many.where("home").select("entry", mine("home_parts").alias("left"), every_part("probe_parts").alias("right"), "print", "id", "home", F.lit(False).alias("probes"))
+    as_probe = many.select("entry", every_part("home_parts").alias("left"), mine("probe_parts").alias("right"), "print", "id", F.lit(False).alias("home"), F.lit(True).alias("probes"))
     every = whole.union(as_home).union(as_probe) if not crowded.isEmpty() else rows.select("entry", F.lit(0).alias("left"), F.lit(0).alias("right"), "print", "id", "home", F.lit(True).alias("probes"))
     dealt = every.repartition("entry", "left", "right").sortWithinPartitions("entry", "left", "right")
     return dealt.mapInArrow(lambda batches: link_entries(batches, radius), "a long, b long")
