@@ -240,14 +240,15 @@ def held_out(key: Column) -> Column:
 
 def fit_field(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict | None:
     """The model from at most ``rows`` documents of each class, those with the smallest hash of their key; None unless both
-    classes are there. A key's labels of 1 outweigh those of 0; nulls are left out. The sample is fitted in one task."""
+    classes are there. A key's labels of 1 outweigh those of 0; nulls are left out. Of rows that share a key only the least text
+    is learned from, found before anything is shuffled, so the sample that is fitted in one task keeps its bound."""
     told = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).alias("_key")).agg((F.max(label) == 1).alias("_toxic"))
     have = {r["_toxic"]: r["count"] for r in told.groupBy("_toxic").count().collect()}
     if len(have) < 2:
         return None
     prior = have[True] / (have[True] + have[False])
     drawn = [told.where(F.col("_toxic") == is_toxic).orderBy(F.xxhash64("_key"), "_key").limit(rows) for is_toxic in (True, False)]
-    sample = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(drawn[0].union(drawn[1])), "_key")
+    sample = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(drawn[0].union(drawn[1])), "_key").groupBy("_key").agg(F.min("body").alias("body"), F.first("_toxic").alias("_toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
