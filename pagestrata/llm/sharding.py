@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagestrata.llm import shared
+
 #: Parts into which the numbering of a shard is cut.
 BLOCKS = 1024
 
@@ -28,9 +30,9 @@ def shard_rows(df: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
     ``shard``, ``slot`` (gapless from 0 within the shard) and ``grown_shard`` (with one shard more).
 
     A null text counts as no bytes, a null key is a key of its own. Rows of one key share a shard and have slots of
-    their own, in the order of checksum and size; rows equal in all of these are interchangeable. An empty table gives
-    no rows. Other columns of df, whatever their names, are left out. Only keys, sizes and checksums are shuffled, once;
-    a shard is numbered in BLOCKS parts, so that no task sees a whole shard."""
+    their own; rows equal in key, checksum and size are interchangeable. An empty table gives no rows. Other columns of df,
+    whatever their names, are left out. Texts are read once: keys, sizes and checksums are written to the shared folder. A
+    shard is numbered in BLOCKS parts by key, checksum and size, so that no task sees a whole shard or all of a hot key."""
     own = df.select(F.col(key).alias("key"), F.col(text).alias("body"))
     rows = own.select(
         "key",
@@ -38,15 +40,11 @@ def shard_rows(df: DataFrame, shards: int, key: str = "doc_id", text: str = "tex
         F.crc32(F.coalesce("body", F.lit("")).cast("binary")).alias("text_crc32"),
         jump(F.col("key"), shards).alias("shard"),
         jump(F.col("key"), shards + 1).alias("grown_shard"),
-        _block(F.col("key")).alias("block"),
-    )
-    sizes = own.select(jump(F.col("key"), shards).alias("shard"), _block(F.col("key")).alias("block")).groupBy("shard", "block").agg(F.count("*").alias("held"))
+    ).withColumn("block", F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(BLOCKS)).cast("int"))
+    rows = shared.keep(rows, "shards")
+    sizes = rows.groupBy("shard", "block").agg(F.count("*").alias("held"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "block", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
     inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("key", "text_crc32", "size"))
     numbered = rows.withColumn("inside", inside).join(starts, ["shard", "block"])
     return numbered.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("inside") - 1).cast("long").alias("slot"), "grown_shard")
-
-
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(BLOCKS)).cast("int")
