@@ -35,9 +35,7 @@ USUAL_SIZES = [6, 7, 8, 9, 10, 10.5, 11, 12, 14, 16, 18, 20, 22, 24, 26, 28, 32,
 def scanned_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
     """Which pages are scans. ``pages``: doc_id, page_no, drawn (images, undecodable images, art or unmapped glyphs),
     bytes."""
-    n = words.groupBy(*PAGE).agg(F.sum(letter_count(F.col("text"))).alias("chars"))
-    j = pages.join(n, PAGE, "left").withColumn("chars", F.coalesce("chars", F.lit(0)))
-    return j.select(
+    return _with_chars(pages, words).select(
         *PAGE, "chars",
         ((F.col("chars") == 0) & F.col("drawn")).alias("scanned"),
         (F.col("chars") < 100).alias("needs_ocr"),
@@ -46,6 +44,27 @@ def scanned_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
+def _with_chars(pages: DataFrame, words: DataFrame) -> DataFrame:
+    n = words.groupBy(*PAGE).agg(F.sum(letter_count(F.col("text"))).alias("chars"))
+    return pages.join(n, PAGE, "left").withColumn("chars", F.coalesce("chars", F.lit(0)))
+
+
+def scanned_documents(pages: DataFrame, words: DataFrame, first: int | None = None) -> DataFrame:
+    """Which documents are heavy scans, and the level of compression to recommend. A document ``has_text`` from 20 characters
+    on; it ``looks_scanned`` with fewer than 100 characters a page on average and more than 100 KB a page. Scans without text
+    are recommended to become lighter images ("strong"), scans with text to keep it ("balanced"), all others "light". ``first``: count characters only on
+    so many pages from the start of a document (null: on all); bytes always count on all.
+
+    ``pages`` as for ``scanned_pages``; a document without words has no characters, null bytes count as none."""
+    counted = _with_chars(pages, words)
+    if first is not None:
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no"))
+        counted = counted.withColumn("chars", F.when(place <= first, F.col("chars")))
+    each = counted.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.count("chars").alias("_seen"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    scan = (F.col("chars") / F.col("_seen") < 100) & (F.col("bytes") / F.col("pages") > 100 * 1024)
+    return each.select("doc_id", "pages", "chars", (F.col("chars") >= 20).alias("has_text"), scan.alias("looks_scanned"), F.when(~scan, "light").when(F.col("chars") >= 20, "balanced").otherwise("strong").alias("level"))
+
+
 def ocr_filter(words: DataFrame) -> DataFrame:
     """Drop specks: unsure marks, boxes far smaller than the line, unsure short words standing apart."""
     n, conf = F.length("text"), F.col("confidence")

@@ -92,13 +92,14 @@ LINE = "doc_id, page_no, line_no"
 @query(
     "interval_gaps",
     f"""
-    WITH p AS (SELECT {LINE}, x AS lo, x+w AS hi, max(x+w) OVER (PARTITION BY {LINE} ORDER BY x, x+w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_words WHERE length(text)>2)
+    WITH p AS (SELECT {LINE}, x AS lo, x+e AS hi, max(x+e) OVER (PARTITION BY {LINE} ORDER BY x, x+e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT *, CASE WHEN length(text)>2 THEN w ELSE 1.0 END AS e FROM fx_words))
     SELECT {LINE}, reach AS gap_lo, lo AS gap_hi FROM p WHERE lo-reach>=12
     """,
     "fx_words",
 )
 def _(spark, d):
-    spans = derived.words(spark, d).filter(F.length("text") > 2).select("doc_id", "page_no", "line_no", F.col("x").alias("lo"), (F.col("x") + F.col("w")).alias("hi"))
+    ink = F.when(F.length("text") > 2, F.col("w")).otherwise(1.0)  # short words leave little ink
+    spans = derived.words(spark, d).select("doc_id", "page_no", "line_no", F.col("x").alias("lo"), (F.col("x") + ink).alias("hi"))
     return G.interval_gaps(spans, ["doc_id", "page_no", "line_no"], "lo", "hi", 12.0)
 
 

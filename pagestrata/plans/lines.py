@@ -309,7 +309,7 @@ def _(spark, d):
 @query(
     "deskew_frame",
     f"""
-    WITH l AS (SELECT doc_id, page_no, line_no, x, y, w, h, para_no%5*0.3::DOUBLE+89.8::DOUBLE AS rot FROM fx_lines WHERE para_no%3=1), a AS (SELECT *, floor(rot*2+0.5)/2 AS angle FROM l),
+    WITH l AS (SELECT doc_id, page_no, line_no, x, y, w, h, CASE WHEN para_no%3=1 THEN para_no%5*0.3::DOUBLE+89.8::DOUBLE ELSE 0.0 END AS rot FROM fx_lines), a AS (SELECT *, floor(rot*2+0.5)/2 AS angle FROM l WHERE rot<>0),
     u AS (SELECT *, cos(radians(angle))*(x+w/2)+sin(radians(angle))*(y+h/2)-w/2 AS u, cos(radians(angle))*(y+h/2)-sin(radians(angle))*(x+w/2)-h/2 AS v FROM a)
     SELECT doc_id, page_no, line_no, angle, {s2("u")} AS u, {s2("v")} AS v, {s2("min(u) OVER (PARTITION BY doc_id,page_no,angle)")} AS frame_x FROM u
     """,
@@ -317,7 +317,7 @@ def _(spark, d):
 )
 def _(spark, d):
     p = F.col("para_no")
-    lines = derived.word_lines(spark, d).filter(p % 3 == 1).withColumn("rotation", p % 5 * 0.3 + 89.8)
+    lines = derived.word_lines(spark, d).withColumn("rotation", F.when(p % 3 == 1, p % 5 * 0.3 + 89.8).otherwise(0.0))
     r2 = lambda c: half_up(F.col(c), 100).alias(c)
     return L.deskew_frame(lines).select(*L.LINE, "angle", r2("u"), r2("v"), r2("frame_x"))
 

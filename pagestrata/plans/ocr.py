@@ -27,6 +27,22 @@ def _(spark, d):
     return O.scanned_pages(pages, w.filter((F.col("doc_id") + F.col("page_no")) % 4 != 0))
 
 
+@query(
+    "scanned_documents",
+    """
+    WITH p AS (SELECT doc_id, page_no, CASE WHEN doc_id%3=0 OR any_value((doc_id+page_no)%4=0) THEN 0 ELSE sum(length(text)) END AS n, count(*)*3000 AS bytes FROM fx_words GROUP BY doc_id, page_no),
+    d AS (SELECT doc_id, count(*) AS pages, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY doc_id)
+    SELECT doc_id, pages, chars, chars>=20 AS has_text, chars/pages<100 AND bytes/pages>102400 AS looks_scanned, CASE WHEN NOT (chars/pages<100 AND bytes/pages>102400) THEN 'light' WHEN chars>=20 THEN 'balanced' ELSE 'strong' END AS level FROM d
+    """,
+    "fx_words",
+)
+def _(spark, d):
+    """The words of every third document are on its pages as pictures only."""
+    w = derived.words(spark, d)
+    pages = w.groupBy("doc_id", "page_no").agg((F.count("*") * 3000).alias("bytes"), F.max(F.col("line_no") % 2 == 0).alias("drawn"))
+    return O.scanned_documents(pages, w.withColumn("text", F.when((F.col("doc_id") % 3 != 0) & ((F.col("doc_id") + F.col("page_no")) % 4 != 0), F.col("text"))))
+
+
 @query(
     "ocr_filter",
     rf"""
@@ -135,14 +151,19 @@ def _(spark, d):
 @query(
     "split_ocr_pieces",
     """
-    WITH f AS (SELECT doc_id, page_no, line, word_no, x0, x1 FROM fx_ocr WHERE NOT regexp_matches(text,'^[a-c]')),
+    WITH f AS (SELECT doc_id, page_no, line, word_no, x0+o AS x0, x1+o AS x1 FROM (SELECT *, coalesce(30*count(*) FILTER (WHERE regexp_matches(text,'^[a-c]')) OVER (PARTITION BY doc_id,page_no,line ORDER BY x0,word_no),0) AS o FROM fx_ocr)),
     g AS (SELECT *, CASE WHEN x0-lag(x1) OVER w>1.6*12 THEN 1 ELSE 0 END AS s FROM f WINDOW w AS (PARTITION BY doc_id,page_no,line ORDER BY x0,word_no))
     SELECT doc_id, page_no, line, word_no, CAST(sum(s) OVER (PARTITION BY doc_id,page_no,line ORDER BY x0,word_no) AS INT) AS piece FROM g
     """,
     "fx_ocr",
 )
 def _(spark, d):
-    w = derived.scanned_words(spark, d).filter(~F.col("text").rlike("^[a-c]")).withColumn("size", F.lit(12.0))
+    """Words from a to c and all after them in their line are moved away from the words before them."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("doc_id", "page_no", "line").orderBy("x0", "word_no")
+    w = derived.scanned_words(spark, d).withColumn("size", F.lit(12.0)).withColumn("off", 30 * F.count_if(F.col("text").rlike("^[a-c]")).over(before))
+    w = w.withColumns({"x0": F.col("x0") + F.col("off"), "x1": F.col("x1") + F.col("off")}).drop("off")
     return O.split_ocr_pieces(w).select("doc_id", "page_no", "line", "word_no", "piece")
 
 

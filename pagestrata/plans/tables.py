@@ -297,14 +297,23 @@ def _(spark, d):
 @query(
     "loose_marks",
     """
-    WITH f AS (SELECT doc_id, paint_order AS mark_no, x, y, w, h, color, opacity FROM fx_fills WHERE NOT (color='FFFFFF' AND opacity>0.9)), t AS (SELECT doc_id, min(98.0+row_no*20) AS y0, max(118.0+row_no*20) AS y1 FROM fx_rows GROUP BY doc_id),
-    i AS (SELECT f.* FROM f JOIN t USING (doc_id) WHERE x>=68.5 AND x+w<=471.5 AND y>=y0-1.5 AND y+h<=y1+1.5), l AS (SELECT * FROM i WHERE NOT w=400),
-    c AS (SELECT DISTINCT l.doc_id, mark_no FROM l JOIN fx_cells k ON k.doc_id=l.doc_id AND greatest(0,least(k.x+length(k.text)*6,l.x+l.w)-greatest(k.x,l.x))*greatest(0,least(k.y+12,l.y+l.h)-greatest(k.y,l.y))>0.2*length(k.text)*6*12)
-    SELECT doc_id, 0 AS page_no, 0 AS table_no, mark_no, color, c.mark_no IS NOT NULL AS under_text FROM l LEFT JOIN c USING (doc_id, mark_no)
+    WITH ru AS (SELECT doc_id, 'rule' AS kind, 100000+row_no AS mark_no, 90.0 AS x, 107.5+row_no*20 AS y, 360.0 AS w, 1.0 AS h, '808080' AS color, 'h' AS dir, 108.0+row_no*20 AS ln FROM fx_rows WHERE pk%4>=2
+      UNION ALL SELECT doc_id, 'rule', 200000+row_no, 240.0, 100.0+row_no*20, 0.25, 16.0, '303030', 'v', 240.0 FROM fx_rows
+      UNION ALL SELECT doc_id, 'rule', row_number() OVER (PARTITION BY doc_id ORDER BY dir,pos,a,b), CASE dir WHEN 'h' THEN a ELSE pos-0.5 END, CASE dir WHEN 'h' THEN pos-0.5 ELSE a END, CASE dir WHEN 'h' THEN b-a ELSE 1.0 END, CASE dir WHEN 'h' THEN 1.0 ELSE b-a END, '000000', dir, pos FROM fx_rules),
+    f AS (SELECT doc_id, 'fill' AS kind, paint_order AS mark_no, x, y, w, h, color, NULL AS dir, NULL AS ln FROM fx_fills WHERE NOT (color='FFFFFF' AND opacity>0.9) UNION ALL SELECT * FROM ru),
+    t AS (SELECT doc_id, min(98.0+row_no*20) AS y0, max(118.0+row_no*20) AS y1 FROM fx_rows GROUP BY doc_id), ys AS (SELECT DISTINCT doc_id, unnest([98.0+row_no*20, 118.0+row_no*20]) AS pos FROM fx_rows),
+    i AS (SELECT f.*, x+w/2 AS cx, y+h/2 AS cy, y1 FROM f JOIN t USING (doc_id) WHERE x>=68.5 AND x+w<=471.5 AND y>=y0-1.5 AND y+h<=y1+1.5),
+    g AS (SELECT i.kind, i.doc_id, i.mark_no, bool_or(abs(pos-y)<=2.5) AND bool_or(abs(pos-(y+h))<=2.5) AS ly, bool_or(abs(pos-ln)<=2.5) AS la, count(*) FILTER (WHERE pos<cy) AS n, min(pos) AS least_, max(pos) AS most FROM i JOIN ys USING (doc_id) GROUP BY ALL),
+    x AS (SELECT *, abs(x-70-100*round((x-70)/100))<=2.5 AND abs(x+w-70-100*round((x+w-70)/100))<=2.5 AS lx, abs(ln-70-100*round((ln-70)/100))<=2.5 AS lv FROM i JOIN g USING (doc_id,kind,mark_no)),
+    l AS (SELECT * FROM x WHERE NOT CASE WHEN kind='fill' THEN lx AND ly WHEN dir='h' THEN la ELSE lv END),
+    c AS (SELECT DISTINCT l.doc_id, l.kind, mark_no FROM l JOIN fx_cells k ON k.doc_id=l.doc_id AND greatest(0,least(k.x+length(k.text)*6,l.x+l.w)-greatest(k.x,l.x))*greatest(0,least(k.y+12,l.y+l.h)-greatest(k.y,l.y))>0.2*length(k.text)*6*12)
+    SELECT doc_id, 0 AS page_no, 0 AS table_no, kind, mark_no, color, CASE WHEN cy BETWEEN least_ AND most THEN CAST(greatest(n,1)-1 AS INT) END AS row, CASE WHEN cx BETWEEN 70 AND 470 THEN CAST(greatest(ceil((cx-70)/100),1)-1 AS INT) END AS col, c.mark_no IS NOT NULL AS under_text FROM l LEFT JOIN c USING (doc_id, kind, mark_no)
     """,
-    "fx_fills fx_rows fx_cells",
+    "fx_fills fx_rows fx_cells fx_rules",
 )
 def _(spark, d):
+    from pyspark.sql import Window
+
     r = derived.table_rows(spark, d)
     key = [F.col("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("table_no")]
     box = r.groupBy("doc_id").agg((F.min("row_no") * 20 + 98.0).alias("y"), (F.max("row_no") * 20 + 118.0).alias("y1"))
@@ -313,7 +322,14 @@ def _(spark, d):
     ys = r.select(*key, F.explode(F.array(F.col("row_no") * 20 + 98.0, F.col("row_no") * 20 + 118.0)).alias("pos")).distinct()
     fills = derived.fills(spark, d).withColumn("mark_no", F.col("paint_order"))
     text = derived.cells(spark, d).select(*PAGE, "x", "y", (F.length("text") * 6.0).alias("w"), "h")
-    return J.loose_marks(tables, xs, ys, fills, text)
+    middle, kind = F.col("row_no") * 20 + 108.0, F.col("pk") % 4  # separators in the rows: dashed, slanted or solid; upright hair lines
+    rule = lambda no, x1, y1, x2, y2, width, color, style: [F.col("doc_id"), F.lit(0).alias("page_no"), no.cast("long").alias("mark_no"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.lit(width).alias("width"), F.lit(color).alias("color"), style.cast("string").alias("style")]
+    none, level, s = F.lit(None), F.col("dir") == "h", derived.table_rules(spark, d)
+    rules = r.select(*rule(F.col("row_no") + 100000, F.lit(450.0), middle, F.lit(90.0), middle + F.when(kind == 1, 3.0).otherwise(0.0), 1.0, "808080", F.when(kind == 0, "dashed")))
+    rules = rules.union(r.select(*rule(F.col("row_no") + 200000, F.lit(240.125), middle - 8, F.lit(240.125), middle + 8, 0.25, "303030", none)))
+    s = s.withColumn("no", F.row_number().over(Window.partitionBy("doc_id").orderBy("dir", "pos", "a", "b")))
+    rules = rules.union(s.select(*rule(F.col("no"), F.when(level, F.col("a")).otherwise(F.col("pos")), F.when(level, F.col("pos")).otherwise(F.col("a")), F.when(level, F.col("b")).otherwise(F.col("pos")), F.when(level, F.col("pos")).otherwise(F.col("b")), 1.0, "000000", none)))
+    return J.loose_marks(tables, xs, ys, fills, text, rules)
 
 
 @query(
