@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagestrata.session import cut_lineage
 
@@ -192,5 +194,40 @@ def grouped_map(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFram
     return df.repartition(n, *ks).sortWithinPartitions(*ks).mapInPandas(batches, schema)
 
 
+def grouped_rows(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
+    """Like ``grouped_map``, for groups so small and many that a pandas table for each costs more than the work: the function
+    gets a group's columns as lists and gives a list of rows."""
+    names, places = df.columns, [df.columns.index(k) for k in keys]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def made(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in it:
+            cols, out, at = [c.to_pylist() for c in batch.columns], [], 0
+            key = list(zip(*(cols[p] for p in places)))
+            while at < len(key):
+                end = at + 1
+                while end < len(key) and key[end] == key[at]:
+                    end += 1
+                part = [c[at:end] for c in cols]
+                if held is not None and key[at] == now:
+                    held = [h + p for h, p in zip(held, part)]
+                else:
+                    out += fn(dict(zip(names, held))) if held is not None else []
+                    now, held = key[at], part
+                at = end
+            if out:
+                yield made(out)
+        rows = fn(dict(zip(names, held))) if held is not None else []
+        if rows:
+            yield made(rows)
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(batches, schema)
+
+
 def schema_of(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)
