@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions import geometry as G
-from pagestrata.operators.common import bucket_join, grouped_map, half_up, islands, upper_median
+from pagestrata.operators.common import bucket_join, grouped_map, grouped_rows, half_up, islands, upper_median
 
 PAGE = ["doc_id", "page_no"]
 
@@ -258,9 +258,9 @@ def two_colors(pixels: DataFrame, keys: list[str]) -> DataFrame:
     palette = pixels.groupBy(*keys, "r", "g", "b").agg(F.count("*").alias("n"))
     light = np.array([0.299, 0.587, 0.114])
 
-    def region(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "g", "b"])
-        rgb, n = pdf[["r", "g", "b"]].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float)
+    def region(g: dict) -> list:
+        colors = np.array(sorted(zip(g["r"], g["g"], g["b"], g["n"])), dtype=float)
+        rgb, n = colors[:, :3], colors[:, 3]
         lum = rgb @ light
         centre = np.array([rgb[np.argmin(lum)], rgb[np.argmax(lum)]])
         side = np.zeros(len(rgb), dtype=int)
@@ -284,6 +284,6 @@ def two_colors(pixels: DataFrame, keys: list[str]) -> DataFrame:
         if pick @ light < 40 and pick.max() - pick.min() < 18:
             pick = np.zeros(3)
         name = lambda c: "".join(f"{int(np.floor(v + 0.5)):02X}" for v in c)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "background": [name(centre[back])], "ink": [name(pick)]})
+        return [(*(g[k][0] for k in keys), name(centre[back]), name(pick))]
 
-    return grouped_map(palette, keys, region, _schema(pixels, keys) + ", background string, ink string")
+    return grouped_rows(palette, keys, region, _schema(pixels, keys) + ", background string, ink string")
