@@ -14,7 +14,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["attach_links", "decorate", "dedupe_overprints", "replace_spans", "split_tabs", "content_chunks", "style_runs", "visible_glyphs", "spacing_stats", "line_features"])
+@pytest.mark.parametrize("name", ["attach_links", "decorate", "dedupe_overprints", "replace_spans", "split_tabs", "content_chunks", "style_runs", "visible_glyphs", "spacing_stats", "line_features", "ink_f1"])
 def test_characters_are_not_shuffled(spark, name):
     plan = plan_of(plans.QUERIES[name](spark, FOLDER))
     dealt = [line.strip(" :+-")[:60] for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange SinglePartition" in line]
