@@ -19,36 +19,50 @@ def _schema(df: DataFrame, cols: list[str]) -> str:
 
 def merge_strips(fills: DataFrame) -> DataFrame:
     """Six or more touching narrow bands of slowly changing colour become one fill of their mean colour; a wide change
-    is a gradient. Bands along x first, then along y among what is left."""
-    first = _strips(fills.withColumn("_id", F.col("paint_order")), True)
-    rest = fills.join(first.select(*PAGE, F.explode("members").alias("paint_order")), [*PAGE, "paint_order"], "left_anti")
-    return first.unionByName(_strips(rest.withColumn("_id", F.col("paint_order")), False)).drop("members")
+    is a gradient. Bands along x first, then along y among what is left. A merged fill travels on as a row that meets nothing,
+    so that fills are read once and dealt by page once."""
+    cols = [*PAGE, "x", "y", "w", "h", "color", "opacity", "paint_order"]
+    none = F.lit(None)
+    rows = fills.select(*cols, none.cast("bigint").alias("n"), none.cast("boolean").alias("gradient"))
+    for along_x in (True, False):
+        rows = _strips(rows, along_x)
+    return rows.filter("n IS NOT NULL").select(*PAGE, "n", "x", "y", "w", "h", "color", "opacity", "paint_order", "gradient")
 
 
 def _strips(f: DataFrame, along_x: bool) -> DataFrame:
+    """Rows with their bands along one direction merged. ``n`` (bands) and ``gradient`` tell merged fills, and are null on others."""
     lo, size, c0, cs = ("x", "w", "y", "h") if along_x else ("y", "h", "x", "w")
+    cols = [c for c in f.columns if c not in PAGE]
     t = f.withColumn("_e0", half_up(F.col(c0), 2)).withColumn("_e1", half_up(F.col(c0) + F.col(cs), 2))
-    keys = [*PAGE, "_e0", "_e1"]
-    w = Window.partitionBy(*keys).orderBy(lo, "_id")
+    t = t.withColumn("_own", F.when(F.col("n").isNotNull(), F.col("paint_order")))
+    # All windows share keys and order, so a page is sorted once: a part is a stretch of a run, both are told by their first row.
+    keys = [*PAGE, "_own", "_e0", "_e1"]
+    w = Window.partitionBy(*keys).orderBy(lo, "paint_order")
     far = F.abs(F.col(lo) - (F.lag(lo).over(w) + F.lag(size).over(w))) > 0.6
-    jump = G.color_distance(F.col("color"), F.lag("color").over(w)) > 24
-    t = islands(t, keys, [lo, "_id"], far | jump | (F.col(size) > 15), "run")
-    head = F.first(size).over(Window.partitionBy(*keys, "run").orderBy(lo, "_id"))
-    odd = F.abs(F.col(size) - head) > F.greatest(F.lit(0.6), 0.25 * head)
-    t = t.withColumn("_odd", odd)
-    w2 = Window.partitionBy(*keys, "run").orderBy(lo, "_id")
-    t = islands(t, [*keys, "run"], [lo, "_id"], F.col("_odd") != F.lag("_odd").over(w2), "part")
+    t = t.withColumn("_rgb", F.array(*G.channels(F.col("color"))))
+    before = F.lag("_rgb").over(w)
+    jump = F.greatest(*[F.abs(F.col("_rgb")[i] - before[i]) for i in range(3)]) > 24
+    fresh = F.row_number().over(w) == 1
+    t = t.withColumn("_start", fresh | F.coalesce(far | jump | (F.col(size) > 15), F.lit(False)))
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = F.last(F.when(F.col("_start"), F.struct(F.col(size).alias("s"))), True).over(so_far)["s"]
+    t = t.withColumn("_odd", F.abs(F.col(size) - head) > F.greatest(F.lit(0.6), 0.25 * head))
+    turn = F.col("_start") | F.coalesce(F.col("_odd") != F.lag("_odd").over(w), F.lit(False))
+    t = t.withColumn("_turn", turn.cast("int")).withColumn("part", F.sum("_turn").over(so_far))
     a = F.col("w") * F.col("h")
-    ch = G.channels(F.col("color"))
+    ch = [F.col("_rgb")[i] for i in range(3)]
     mean = [F.sum(c * a) / F.sum(a) for c in ch]
     spread = F.greatest(*[F.max(c) - F.min(c) for c in ch]) / F.lit(255.0)
-    m = t.groupBy(*keys, "run", "part").agg(
-        F.count("*").alias("n"), F.count_distinct("color").alias("colors"), F.min(F.struct(lo, size)).alias("_f"),
+    m = t.groupBy(*keys, "part").agg(
+        F.count("*").alias("_n"), F.size(F.collect_set("color")).alias("_colors"), F.min(F.struct(lo, size)).alias("_f"),
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_x1"), F.max(F.col("y") + F.col("h")).alias("_y1"),
-        G.hex_of(*[F.floor(v + 0.5) for v in mean]).alias("color"), F.min("opacity").alias("opacity"), F.max("paint_order").alias("paint_order"), (spread > 0.1).alias("gradient"), F.collect_list("_id").alias("members"),
+        F.array(*mean).alias("_mean"), F.min("opacity").alias("opacity"), F.max("paint_order").alias("paint_order"), (spread > 0.1).alias("gradient"), F.collect_list(F.struct(*cols)).alias("_members"),
     )
-    ok = m.filter((F.col("n") >= 6) & (F.col("colors") >= 3) & (F.col(f"_f.{size}") <= 12))
-    return ok.select(*PAGE, "n", "x", "y", (F.col("_x1") - F.col("x")).alias("w"), (F.col("_y1") - F.col("y")).alias("h"), "color", "opacity", "paint_order", "gradient", "members")
+    ok = F.col("_own").isNull() & (F.col("_n") >= 6) & (F.col("_colors") >= 3) & (F.col(f"_f.{size}") <= 12)
+    color = G.hex_of(*[F.floor(F.col("_mean")[i] + 0.5) for i in range(3)])
+    one = {"w": F.col("_x1") - F.col("x"), "h": F.col("_y1") - F.col("y"), "color": color, "n": F.col("_n")}
+    merged = F.struct(*[one.get(c, F.col(c)).cast(f.schema[c].dataType).alias(c) for c in cols])
+    return m.select(*PAGE, F.explode(F.when(F.coalesce(ok, F.lit(False)), F.array(merged)).otherwise(F.col("_members"))).alias("m")).select(*PAGE, "m.*")
 
 
 def clean_fills(fills: DataFrame, images: DataFrame | None = None) -> DataFrame:

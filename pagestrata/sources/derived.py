@@ -28,6 +28,18 @@ def by_page(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return lines.repartition(max(spark.sparkContext.defaultParallelism, -(-stored // TASK_BYTES)), "doc_id", "page_no")
 
 
+#: Line items whose orders share a task: ten pieces drawn for each fill some 100 MB of rows.
+TASK_ITEMS = 50_000
+
+
+def by_order(items: DataFrame, key: str = "l_orderkey") -> DataFrame:
+    """Line items dealt by order (the page of a drawn table) before they are cut into cells, bands or pieces of rules, as
+    ``by_page`` deals lines. The number of parts grows with the stored rows, which tell more than bytes where columns repeat."""
+    spark = items.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return items.repartition(max(spark.sparkContext.defaultParallelism, -(-items.count() // TASK_ITEMS)), key)
+
+
 SQL: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
 
@@ -122,7 +134,7 @@ SQL["fx_cand"] = "SELECT doc_id, para_no, word_no, text FROM fx_words WHERE (doc
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    li = by_order(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"))
     texts = F.array(
         F.col("l_linenumber").cast("string"),
         F.col("l_partkey").cast("string"),
@@ -151,7 +163,7 @@ FROM lineitem CROSS JOIN (SELECT unnest(range(4)) AS c)
 
 
 def table_rules(spark: SparkSession, folder: str) -> DataFrame:
-    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    li = by_order(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"))
     h = li.distinct().select(
         F.col("l_orderkey").alias("doc_id"),
         F.lit(0).alias("page_no"),
@@ -483,7 +495,7 @@ FROM (SELECT doc_id, page_no, line_no, para_no, y, h, size, unnest(range(length(
 
 
 def table_rows(spark: SparkSession, folder: str) -> DataFrame:
-    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    li = by_order(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"))
     return li.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_no")).agg(
         F.min("l_partkey").alias("pk"), F.max("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("flag")
     )
