@@ -194,9 +194,9 @@ def grouped_map(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFram
     return df.repartition(n, *ks).sortWithinPartitions(*ks).mapInPandas(batches, schema)
 
 
-def grouped_rows(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
+def grouped_rows(df: DataFrame, keys: Sequence[str], fn, schema: str, laid: bool = False) -> DataFrame:
     """Like ``grouped_map``, for groups so small and many that a pandas table for each costs more than the work: the function
-    gets a group's columns as lists and gives a list of rows."""
+    gets a group's columns as lists and gives a list of rows. ``laid``: a group's rows already share a partition."""
     names, places = df.columns, [df.columns.index(k) for k in keys]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -226,7 +226,7 @@ def grouped_rows(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFra
             yield made(rows)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(batches, schema)
+    return (df if laid else df.repartition(n, *keys)).sortWithinPartitions(*keys).mapInArrow(batches, schema)
 
 
 def schema_of(df: DataFrame, cols: Sequence[str]) -> str:

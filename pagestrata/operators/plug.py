@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from pagestrata.operators.common import grouped_map
+from pagestrata.operators.common import grouped_rows
 
 
 def map_pages(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -21,9 +21,10 @@ def map_pages(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInPandas(batches, schema)
 
 
-def map_cells(df: DataFrame, fn: Callable, schema: str, keys: list[str]) -> DataFrame:
-    """The caller's function over the lines of one table cell."""
-    return grouped_map(df, keys, fn, schema)
+def map_cells(df: DataFrame, fn: Callable, schema: str, keys: list[str], laid: bool = False) -> DataFrame:
+    """The caller's function over the lines of one table cell: columns as lists in, rows out, as cells are small and many.
+    ``laid``: a cell's lines already share a partition."""
+    return grouped_rows(df, keys, fn, schema, laid)
 
 
 def fallback_resolver(c: Column, chances: list[Callable]) -> Column:

@@ -263,11 +263,12 @@ def _(spark, d):
 
 @query("map_cells", "SELECT doc_id, row_no, CAST(count(*) AS INT) AS n, string_agg(text,'/' ORDER BY col_no, text) AS paragraph FROM fx_cells GROUP BY doc_id, row_no", "fx_cells")
 def _(spark, d):
-    def join(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["col_no", "text"])
-        return pd.DataFrame({"doc_id": [p["doc_id"].iloc[0]], "row_no": [p["row_no"].iloc[0]], "n": [len(p)], "paragraph": ["/".join(p["text"])]})
+    def join(g: dict) -> list:
+        texts = [t for _, t in sorted(zip(g["col_no"], g["text"]), key=lambda v: (v[0], v[1] is None, v[1])) if t is not None]
+        return [(g["doc_id"][0], g["row_no"][0], len(g["col_no"]), "/".join(texts) if texts else None)]
 
-    return plug.map_cells(derived.cells(spark, d).select("doc_id", "row_no", "col_no", "text"), join, "doc_id bigint, row_no int, n int, paragraph string", ["doc_id", "row_no"])
+    # The line items of an order lie together since they were dealt.
+    return plug.map_cells(derived.cells(spark, d).select("doc_id", "row_no", "col_no", "text"), join, "doc_id bigint, row_no int, n int, paragraph string", ["doc_id", "row_no"], laid=True)
 
 
 @query(

@@ -28,3 +28,14 @@ def test_small_groups_make_no_pandas_tables(spark):
     assert sorted(r["table_no"] for r in plans[0].collect()) == [0, 1, 2, 3]
     assert sorted((r["dir"], r["pos"], r["comp"]) for r in plans[1].collect()) == [("h", 0.0, 0), ("h", 90.0, 1), ("v", 0.0, 0)]
     assert [tuple(r) for r in plans[3].collect()] == [(1, "FFFFFF", "000000")]
+
+
+def test_cells_are_lists_and_dealt_once(spark):
+    from pagestrata import plans
+    from pagestrata.operators import plug
+
+    plan = plans.QUERIES["map_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("Exchange hashpartitioning") == 1
+    df = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (1, None, "c"), (2, 0, None)], "doc_id int, row_no int, text string").repartition(3)
+    got = plug.map_cells(df, lambda g: [(g["doc_id"][0], g["row_no"][0], len(g["text"]))], "doc_id int, row_no int, n int", ["doc_id", "row_no"]).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 0, 2), (1, None, 1), (2, 0, 1)]
