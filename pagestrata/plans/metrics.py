@@ -208,7 +208,7 @@ def _(spark, d):
 
 
 def cell_tables(spark, d, cand: bool):
-    c = derived.cells(spark, d)
+    c = derived.cells(spark, d, F.floor(F.col("l_orderkey") / 8))
     t = F.col("doc_id") % 8
     text = F.when((F.col("row_no") % 3 == 2) & (F.col("col_no") == 1), "?").otherwise(F.col("text")) if cand else F.col("text")
     rows = c.filter("NOT (row_no = 4 AND doc_id % 16 = 3)") if cand else c
@@ -219,7 +219,7 @@ def cell_tables(spark, d, cand: bool):
 
 @query("table_match")
 def _(spark, d):
-    return M.table_match(cell_tables(spark, d, False), cell_tables(spark, d, True))
+    return M.table_match(cell_tables(spark, d, False), cell_tables(spark, d, True), laid=True)
 
 
 def raster(spark, d, cand: bool = False):

@@ -6,7 +6,7 @@ doubled glyphs, scanned pages) vary the content; no rule drops rows to make a ch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,7 @@ def by_page(lines: DataFrame, docs: DataFrame) -> DataFrame:
 TASK_ITEMS = 50_000
 
 
-def by_order(items: DataFrame, key: str = "l_orderkey") -> DataFrame:
+def by_order(items: DataFrame, key: str | Column = "l_orderkey") -> DataFrame:
     """Line items dealt by order (the page of a drawn table) before they are cut into cells, bands or pieces of rules, as
     ``by_page`` deals lines. The number of parts grows with the stored rows, which tell more than bytes where columns repeat."""
     spark = items.sparkSession
@@ -133,8 +133,9 @@ SQL["fx_cand"] = "SELECT doc_id, para_no, word_no, text FROM fx_words WHERE (doc
 # ── ruled tables ─────────────────────────────────────────────────────────────────────────────────────────────────
 
 
-def cells(spark: SparkSession, folder: str) -> DataFrame:
-    li = by_order(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"))
+def cells(spark: SparkSession, folder: str, key: str | Column = "l_orderkey") -> DataFrame:
+    """``key``: what the line items are dealt by; whole orders."""
+    li = by_order(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"), key)
     texts = F.array(
         F.col("l_linenumber").cast("string"),
         F.col("l_partkey").cast("string"),

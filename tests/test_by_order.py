@@ -36,3 +36,9 @@ def test_strips_along_both_directions(spark):
     df = spark.createDataFrame(across + down + few, "doc_id bigint, page_no int, paint_order int, x double, y double, w double, h double, color string, opacity double")
     got = sorted((r.n, r.x, r.y, r.w, r.h, r.color, r.opacity, r.paint_order, r.gradient) for r in graphics.merge_strips(df).collect())
     assert got == [(6, 100.0, 50.0, 16.0, 30.0, "414141", 0.5, 35, True), (7, 0.0, 0.0, 35.0, 16.0, "464646", 1.0, 16, True)]
+
+
+def test_table_match_shuffles_choices_alone(spark):
+    plan = plan_of(plans.QUERIES["table_match"](spark, FOLDER))
+    back = [line for line in plan.splitlines() if "ENSURE_REQUIREMENTS" in line]
+    assert "MapInPandas" not in plan and "Broadcast" not in plan and len(back) <= 2
