@@ -151,18 +151,22 @@ def merge_touching(rules: DataFrame) -> DataFrame:
 def merge_dashes(rules: DataFrame) -> DataFrame:
     """Four or more equal pieces of at most 12 pt with a steady gap become one dashed rule; the rest stay."""
     keys = [*PAGE, "dir", "pos", "color", "width"]
+    # All windows share keys and order, so the pieces are sorted once; a part is a stretch of a run.
     w = Window.partitionBy(*keys).orderBy("a", "b")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length, gap = F.col("b") - F.col("a"), F.col("a") - F.lag("b").over(w)
     before = F.lag(F.col("b") - F.col("a")).over(w)
     t = rules.withColumn("_g", gap)
     apart = (F.col("_g") <= 0) | (F.col("_g") > F.greatest(F.lit(6.0), 4 * F.col("width"))) | (F.abs(length - before) > 0.35 * before + 0.3)
-    t = islands(t.withColumn("_apart", apart), keys, ["a", "b"], F.col("_apart"), "run")
-    r = Window.partitionBy(*keys, "run").orderBy("a", "b")
-    t = t.withColumn("_g", F.when(F.row_number().over(r) > 1, F.col("_g")))
-    steady = F.abs(F.col("_g") - F.first("_g", True).over(r.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    t = t.withColumn("_off", steady > 0.35 * F.first("_g", True).over(r.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 0.3)
-    t = islands(t, [*keys, "run"], ["a", "b"], F.coalesce(F.col("_off"), F.lit(False)), "part")
-    p = [*keys, "run", "part"]
+    t = t.withColumn("_no", F.row_number().over(w)).withColumn("_start", (F.col("_no") == 1) | F.coalesce(apart, F.lit(False)))
+    t = t.withColumn("_g", F.when(~F.col("_start"), F.col("_g"))).withColumn("run", F.sum(F.col("_start").cast("int")).over(so_far))
+    # The first known gap of the run: least place in the latest run that has one.
+    known = F.min(F.when(F.col("_g").isNotNull(), F.struct((-F.col("run")).alias("run"), F.col("_no").alias("no"), F.col("_g").alias("g")))).over(so_far)
+    t = t.withColumn("_first", known)
+    steady = F.when(F.col("_first.run") == -F.col("run"), F.col("_first.g"))
+    off = F.coalesce(F.abs(F.col("_g") - steady) > 0.35 * steady + 0.3, F.lit(False))
+    t = t.withColumn("part", F.sum((F.col("_start") | off).cast("int")).over(so_far))
+    p = [*keys, "part"]
     m = t.groupBy(*p).agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.min_by(F.col("b") - F.col("a"), "a").alias("len"), F.collect_list(F.struct("a", "b")).alias("own"))
     dashed = (F.col("n") >= 4) & (F.col("len") <= 12)
     whole = F.array(F.struct("a", "b"))

@@ -15,7 +15,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["merge_strips", "loose_marks"])
+@pytest.mark.parametrize("name", ["merge_strips", "loose_marks", "merge_dashes", "grid_lines"])
 def test_drawn_rows_are_not_shuffled(spark, name):
     plan = plan_of(plans.QUERIES[name](spark, FOLDER))
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
