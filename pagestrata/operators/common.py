@@ -229,5 +229,40 @@ def grouped_rows(df: DataFrame, keys: Sequence[str], fn, schema: str, laid: bool
     return (df if laid else df.repartition(n, *keys)).sortWithinPartitions(*keys).mapInArrow(batches, schema)
 
 
+def starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Where the groups (rows alike in the first ``keys`` columns) of sorted rows begin; null keys are alike."""
+    fresh = np.ones(batch.num_rows, dtype=bool)
+    fresh[1:] = False
+    for c in batch.columns[:keys]:
+        a, b = c.slice(0, max(0, len(c) - 1)), c.slice(1)
+        fresh[1:] |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(fresh)
+
+
+def whole_groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows cut anew so that no group (rows alike in the first ``keys`` columns) is divided; null keys are alike."""
+    held: list[pa.RecordBatch] = []
+
+    def like(batch: pa.RecordBatch, one: list) -> np.ndarray:
+        same = np.ones(batch.num_rows, dtype=bool)
+        for c, v in zip(batch.columns[:keys], one):
+            same &= (c.is_null() if v.as_py() is None else pc.fill_null(pc.equal(c, v), False)).to_numpy(zero_copy_only=False)
+        return same
+
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        tail = int(like(batch, [c[batch.num_rows - 1] for c in batch.columns[:keys]]).argmax())
+        if held and (tail or not like(held[-1].slice(held[-1].num_rows - 1), [c[0] for c in batch.columns[:keys]])[0]):
+            yield pa.concat_batches([*held, batch.slice(0, tail)])
+            held = [batch.slice(tail)]
+            continue
+        if tail:
+            yield batch.slice(0, tail)
+        held.append(batch.slice(tail))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def schema_of(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions.text import letter_count
-from pagestrata.operators.common import grouped_map, half_up, islands, middle_median
+from pagestrata.operators.common import grouped_map, half_up, islands, middle_median, schema_of, starts, whole_groups
 
 LINE = ["doc_id", "page_no", "line"]
 PAGE = ["doc_id", "page_no"]
@@ -177,31 +180,83 @@ def snap_sizes(lines: DataFrame) -> DataFrame:
 MOST_WIDTHS = 20_000
 
 
-def page_family(words: DataFrame, widths: DataFrame) -> DataFrame:
+def page_family(words: DataFrame, widths: DataFrame, laid: bool = False) -> DataFrame:
     """The face whose width proportions explain every line with one size. ``widths``: family, ch, em — a table of the
-    feature, not of the corpus; its size is checked, and it becomes a constant of the plan."""
+    feature, not of the corpus; its size is checked, and it becomes a constant of the plan. A word's characters are
+    added up in all faces where it stands, once sorted; words without a width, or of none, tell nothing. ``laid``: a page's
+    words already share a partition."""
     told = widths.select("family", "ch", "em").limit(MOST_WIDTHS + 1).collect()
     if len(told) > MOST_WIDTHS:
         raise ValueError(f"more than {MOST_WIDTHS} character widths")
-    faces: dict[str, dict[str, float]] = {}
+    known = list(FACE_HEIGHTS)
+    faces = sorted({r["family"] for r in told}, key=lambda f: (known.index(f) if f in known else -1, f))
+    codes = sorted({r["ch"] for r in told if len(r["ch"]) == 1})
+    ems = np.full((len(codes) + 1, len(faces)), np.nan)
     for family, ch, em in told:
-        faces.setdefault(family, {})[ch] = em
-    face = lambda name, ems: F.struct(F.lit(name).alias("family"), F.create_map(*[F.lit(v) for pair in ems.items() for v in pair]).alias("m"))
-    maps = F.array(*[face(k, v) for k, v in sorted(faces.items())]) if faces else F.array().cast("array<struct<family:string,m:map<string,double>>>")
-    usable = words.filter((F.length("text") >= 2) & (F.col("confidence") >= 60)).select(*LINE, "text", (F.col("x1") - F.col("x0")).alias("w"))
-    em = F.aggregate(F.filter(F.split("text", ""), lambda c: c != ""), F.lit(0.0), lambda n, c: n + F.col("m")[c])
-    sized = usable.withColumn("_f", F.explode(maps)).select(*LINE, "text", "w", "_f.family", "_f.m").withColumn("em", em).filter("em > 0.3").withColumn("v", F.col("w") / (F.col("em") - 0.05))
-    w = Window.partitionBy(*LINE, "family")
-    dev = F.abs(F.ln(F.col("v") / F.percentile("v", F.lit(0.5)).over(w)))
-    devs = sized.withColumn("dev", dev).withColumn("n", F.count("*").over(w)).filter("n >= 2")
-    spread = devs.groupBy(*PAGE, "family").agg(F.avg("dev").alias("spread"), F.count("*").alias("n"))
-    rank = F.array_position(F.array(*[F.lit(f) for f in FACE_HEIGHTS]), F.col("family"))
-    ranked = spread.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("spread", rank.alias("rank"), "family"))).alias("s"), F.min("n").alias("n"))
-    best, second = F.element_at("s", 1), F.element_at("s", 2)
-    judged = ranked.select(
-        *PAGE, F.when((F.size("s") == len(faces)) & (F.col("n") >= 4) & (second["spread"] >= 1.25 * best["spread"]), best["family"]).otherwise("Arial").alias("family")
-    )
-    return words.select(*PAGE).distinct().join(judged, PAGE, "left").select(*PAGE, F.coalesce("family", F.lit("Arial")).alias("family"))
+        if len(ch) == 1 and em is not None:
+            ems[codes.index(ch), faces.index(family)] = em
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(0x110000, len(codes), np.int32)
+        place[[ord(c) for c in codes]] = np.arange(len(codes))
+        for batch in whole_groups(batches, 2):
+            first = starts(batch, 2)
+            best = _faces_of(batch, first, place, ems)
+            names = pa.array([faces[k] if k >= 0 else "Arial" for k in best.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), batch.column(1).take(pa.array(first)), names], [*PAGE, "family"])
+
+    usable = (F.length("text") >= 2) & (F.col("confidence") >= 60)
+    cols = words.select(*LINE, F.when(usable, F.col("text")).alias("text"), (F.col("x1") - F.col("x0")).cast("double").alias("w"))
+    return (cols if laid else cols.repartition(*PAGE)).sortWithinPartitions(*LINE).mapInArrow(pages, schema_of(words, PAGE) + ", family string")
+
+
+def _faces_of(words: pa.RecordBatch, first: np.ndarray, place: np.ndarray, ems: np.ndarray) -> np.ndarray:
+    """Number of the face that explains each page, -1 where none stands out. ``words``: whole pages, each line together;
+    ``first``: where pages begin; ``place``: the row of ``ems`` for a code point."""
+    n, k = len(first), ems.shape[1]
+    line = np.repeat(np.arange(len(at := starts(words, 3))), np.diff(at, append=words.num_rows))
+    page = np.repeat(np.arange(n), np.diff(first, append=words.num_rows))
+    text = words.column(3)
+    keep = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False))
+    texts, page, line = text.take(pa.array(keep)).to_pylist(), page[keep], line[keep]
+    width = words.column(4).to_numpy(zero_copy_only=False)[keep]
+    of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    at = place[chars]
+    spread, count = np.full((n, k), np.nan), np.zeros((n, k), np.int64)
+    for f in range(k):
+        em = np.bincount(of, weights=ems[at, f], minlength=len(texts))
+        ok = np.flatnonzero(em > 0.3)
+        v, own, where = width[ok] / (em[ok] - 0.05), line[ok], page[ok]
+        dev = np.abs(_log_share(v, own))
+        pair = np.bincount(own, minlength=1)[own] >= 2
+        count[:, f] = np.bincount(where[pair], minlength=n)
+        told = pair & ~np.isnan(dev)
+        with np.errstate(invalid="ignore"):
+            spread[:, f] = np.bincount(where[told], weights=dev[told], minlength=n) / np.bincount(where[told], minlength=n)
+    if k < 2:
+        return np.full(n, -1)
+    order = np.argsort(spread, axis=1, kind="stable")
+    best, second = (np.take_along_axis(spread, order[:, i : i + 1], 1)[:, 0] for i in (0, 1))
+    with np.errstate(invalid="ignore"):
+        clear = (count.min(1) >= 4) & ~np.isnan(spread).any(1) & (second >= 1.25 * best)
+    return np.where(clear, order[:, 0], -1)
+
+
+def _log_share(v: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of each value over the middle of its group's (mean of two); ``own`` ascends. Missing values and shares that
+    are not above zero give none."""
+    seen = np.flatnonzero(~np.isnan(v))
+    out = np.full(len(v), np.nan)
+    if len(seen):
+        first = np.flatnonzero(np.diff(own[seen], prepend=-1))
+        many = np.diff(first, append=len(seen))
+        ranked = v[seen][np.lexsort((v[seen], own[seen]))]
+        low, high = ranked[first + (many - 1) // 2], ranked[first + many // 2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = v[seen] / np.repeat(np.where(low == high, low, 0.5 * low + 0.5 * high), many)
+            out[seen] = np.where((share > 0) & np.isfinite(share), np.log(share), np.nan)
+    return out
 
 
 def split_ocr_pieces(words: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def _(spark, d):
     t = F.col("text")
     off = F.when(t.rlike("[mw]"), 3.0).when(t.rlike("[ijlt]") & (F.col("doc_id") % 3 == 0), -3.0).otherwise(0.0)
     w = derived.scanned_words(spark, d).withColumn("x1", F.col("x1") + off)
-    return O.page_family(w, spark.createDataFrame(width_rows(), "family string, ch string, em double"))
+    return O.page_family(w, spark.createDataFrame(width_rows(), "family string, ch string, em double"), laid=True)
 
 
 @query(
