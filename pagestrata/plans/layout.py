@@ -142,8 +142,8 @@ def _(spark, d):
     return H.tab_alignment(lines(spark, d).select(*PAGE, F.col("line_no").alias("tab_no"), x.alias("x"), w.alias("w")))
 
 
-def region_rows(spark, d):
-    l = lines(spark, d)
+def region_rows(spark, d, l=None):
+    l = lines(spark, d) if l is None else l
     return l.select(
         *PAGE, (F.col("para_no") % 2).alias("region_no"), F.col("line_no").alias("row_no"), "text", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), "baseline", "size", F.col("first_w").alias("first_w"),
         (F.col("para_no") == 0).alias("bold"), F.lit(False).alias("marked"), F.col("x").alias("text_x"), F.lit(0).alias("tabs"), F.lit(0.0).alias("tab_x"), F.lit(72.0).alias("left"), F.lit(540.0).alias("right"), "para_no",
@@ -186,15 +186,20 @@ def _(spark, d):
     return H.right_stacks(r)
 
 
+def dealt_lines(spark, d):
+    """Lines dealt by page once, for plans whose windows and folds see a page."""
+    return derived.by_page(lines(spark, d), derived.table(spark, d, "documents"))
+
+
 def paragraph_rows(spark, d):
-    r = region_rows(spark, d).withColumn("region_no", F.lit(0)).withColumn("stack", F.lit(-1)).withColumn("leading", F.lit(1.17))
+    r = region_rows(spark, d, dealt_lines(spark, d)).withColumn("region_no", F.lit(0)).withColumn("stack", F.lit(-1)).withColumn("leading", F.lit(1.17))
     edge = F.max("x1").over(Window.partitionBy(*PAGE))
     return r.withColumn("wrap_right", edge)
 
 
 @query("group_paragraphs")
 def _(spark, d):
-    return H.group_paragraphs(paragraph_rows(spark, d))
+    return H.group_paragraphs(paragraph_rows(spark, d), laid=True)
 
 
 @query(
