@@ -34,6 +34,11 @@ def _(spark, d):
     return H.bands(lines(spark, d).select(*PAGE, F.col("line_no").alias("item_no"), y.alias("y"), "h")).select(*PAGE, "item_no", "band")
 
 
+def dealt_lines(spark, d):
+    """Lines dealt by page once, for plans whose windows and folds see a page."""
+    return derived.by_page(lines(spark, d), derived.table(spark, d, "documents"))
+
+
 def columned(spark, d):
     """Pages set in two columns in the lower part: every second line moves up beside the one before it."""
     n = F.col("line_no")
@@ -42,17 +47,17 @@ def columned(spark, d):
     y = F.when(two, F.lit(72.0) + 14 * (8 + pair)).otherwise(F.col("y"))
     x = F.when(two & (n % 2 == 1), 330.0).otherwise(72.0)
     w = F.when(two, F.least(F.col("w"), F.lit(230.0))).otherwise(F.col("w"))
-    return lines(spark, d).select(*PAGE, n.alias("item_no"), x.alias("x"), y.alias("y"), w.alias("w"), "h", (y + 12).alias("baseline"), "size", F.lit(True).alias("is_text"), F.length(F.regexp_replace("text", r"\s", "")).alias("chars"))
+    return dealt_lines(spark, d).select(*PAGE, n.alias("item_no"), x.alias("x"), y.alias("y"), w.alias("w"), "h", (y + 12).alias("baseline"), "size", F.lit(True).alias("is_text"), F.length(F.regexp_replace("text", r"\s", "")).alias("chars"))
 
 
 @query("zones")
 def _(spark, d):
-    return H.zones(columned(spark, d))
+    return H.zones(columned(spark, d), laid=True)
 
 
 @query("zone_kind")
 def _(spark, d):
-    return H.zones(columned(spark, d)).groupBy(*PAGE, "zone_no", "kind").agg(F.count("*").alias("items"), F.count_distinct("region_no").alias("regions"))
+    return H.zones(columned(spark, d), laid=True).groupBy(*PAGE, "zone_no", "kind").agg(F.count("*").alias("items"), F.count_distinct("region_no").alias("regions"))
 
 
 @query(
@@ -186,11 +191,6 @@ def _(spark, d):
     return H.right_stacks(r)
 
 
-def dealt_lines(spark, d):
-    """Lines dealt by page once, for plans whose windows and folds see a page."""
-    return derived.by_page(lines(spark, d), derived.table(spark, d, "documents"))
-
-
 def paragraph_rows(spark, d):
     r = region_rows(spark, d, dealt_lines(spark, d)).withColumn("region_no", F.lit(0)).withColumn("stack", F.lit(-1)).withColumn("leading", F.lit(1.17))
     edge = F.max("x1").over(Window.partitionBy(*PAGE))

@@ -10,7 +10,7 @@ from pagestrata.operators import layout as H
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["group_paragraphs"])
+@pytest.mark.parametrize("name", ["group_paragraphs", "zones"])
 def test_lines_are_dealt_once_and_fold_as_lists(spark, name):
     plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and plan.count("Exchange hashpartitioning") == 1
