@@ -134,8 +134,9 @@ def ocr_baseline(words: DataFrame) -> DataFrame:
     above = F.when(t.rlike(TALL), ANY_FACE["asc"]).otherwise(ANY_FACE["x"])
     depth = F.when(t.rlike(DESCENDS), 0.21).when(t.rlike(DIPS), 0.13).otherwise(0.0)
     guess = F.when(t.rlike(ALNUM), F.col("bottom") - (F.col("bottom") - F.col("top")) * depth / (above + depth))
-    g = words.groupBy(*LINE).agg(F.count(level).alias("n"), middle_median(level).alias("a"), middle_median(guess).alias("b"))
-    return g.select(*LINE, F.when(F.col("n") >= 3, F.col("a")).otherwise(F.col("b")).alias("baseline"))
+    sides = words.select(*LINE, level.cast("double").alias("a"), guess.cast("double").alias("b"))
+    g = sides.groupBy(*LINE).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    return g.select(*LINE, F.when(F.size("a") >= 3, _mid(F.sort_array("a"))).otherwise(_mid(F.sort_array("b"))).alias("baseline"))
 
 
 def ocr_size(words: DataFrame, baselines: DataFrame, face: dict[str, float] = ANY_FACE, pixel: float = 0.24) -> DataFrame:

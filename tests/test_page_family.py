@@ -63,6 +63,15 @@ def test_words_are_sorted_once_and_not_multiplied(spark):
     assert "Window" not in plan and plan.count("Generate explode") == 0 and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_line_medians_are_sorted_lists(spark):
+    plan = plans.QUERIES["ocr_baseline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and plan.count("Exchange hashpartitioning") == 1
+    rows = [(1, 0, k, t, 10.0, b) for k, words in enumerate([[("acen", 22.0), ("moru", 20.0), ("sx", 21.0), ("zz", 25.0)], [("acen", 22.0), ("gy", 24.0)], [("--", 9.0), (None, 8.0)], [("acen", None), ("moru", 20.0), ("sx", 21.0)]]) for t, b in words]
+    words = spark.createDataFrame(rows, "doc_id int, page_no int, line int, text string, top double, bottom double")
+    got = {r["line"]: r["baseline"] for r in ocr.ocr_baseline(words).collect()}
+    assert got[0] == 21.5 and abs(got[1] - (22.0 + 24.0 - 14 * 0.21 / 0.7) / 2) < 1e-9 and got[2] is None and got[3] == 20.5
+
+
 def test_whole_groups():
     keys = [None, None, 1, 1, 1, 1, 1, 2, 3, 3]
     for size in (1, 2, 3, 4, 10):
