@@ -39,7 +39,7 @@ def dealt_lines(spark, d):
     return derived.by_page(lines(spark, d), derived.table(spark, d, "documents"))
 
 
-def columned(spark, d):
+def columned(spark, d, l=None):
     """Pages set in two columns in the lower part: every second line moves up beside the one before it."""
     n = F.col("line_no")
     two = n >= 8
@@ -47,17 +47,18 @@ def columned(spark, d):
     y = F.when(two, F.lit(72.0) + 14 * (8 + pair)).otherwise(F.col("y"))
     x = F.when(two & (n % 2 == 1), 330.0).otherwise(72.0)
     w = F.when(two, F.least(F.col("w"), F.lit(230.0))).otherwise(F.col("w"))
-    return dealt_lines(spark, d).select(*PAGE, n.alias("item_no"), x.alias("x"), y.alias("y"), w.alias("w"), "h", (y + 12).alias("baseline"), "size", F.lit(True).alias("is_text"), F.length(F.regexp_replace("text", r"\s", "")).alias("chars"))
+    l = lines(spark, d) if l is None else l
+    return l.select(*PAGE, n.alias("item_no"), x.alias("x"), y.alias("y"), w.alias("w"), "h", (y + 12).alias("baseline"), "size", F.lit(True).alias("is_text"), F.length(F.regexp_replace("text", r"\s", "")).alias("chars"))
 
 
 @query("zones")
 def _(spark, d):
-    return H.zones(columned(spark, d), laid=True)
+    return H.zones(columned(spark, d, dealt_lines(spark, d)), laid=True)
 
 
 @query("zone_kind")
 def _(spark, d):
-    return H.zones(columned(spark, d), laid=True).groupBy(*PAGE, "zone_no", "kind").agg(F.count("*").alias("items"), F.count_distinct("region_no").alias("regions"))
+    return H.zones(columned(spark, d, dealt_lines(spark, d)), laid=True).groupBy(*PAGE, "zone_no", "kind").agg(F.count("*").alias("items"), F.count_distinct("region_no").alias("regions"))
 
 
 @query(
