@@ -134,15 +134,11 @@ def cluster_1d(points: DataFrame, keys: Sequence[str], pos: str, weight: str, to
     )
 
 
-def drop_slivers(lines: DataFrame, keys: Sequence[str], least: float = 5.0) -> DataFrame:
-    """Of lines closer than ``least`` to their neighbour the heavier stays: a left fold over a key's few lines, kept
-    inside one array expression."""
-    items = F.array_sort(F.collect_list(F.struct("pos", "weight")))
+def without_slivers(items: Column, least: float = 5.0) -> Column:
+    """Of sorted lines (pos, weight) in an array, closer than ``least`` to their neighbour, the heavier stays: a left fold."""
 
     def step(acc, it):
-        last = F.element_at(acc, -1)
         close = (F.size(acc) > 0) & (it["pos"] - F.try_element_at(acc, F.lit(-1))["pos"] < least)
-        del last
         keep_old = F.try_element_at(acc, F.lit(-1))["weight"] >= it["weight"]
         return (
             F.when(~close, F.concat(acc, F.array(it)))
@@ -150,9 +146,15 @@ def drop_slivers(lines: DataFrame, keys: Sequence[str], least: float = 5.0) -> D
             .otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(it)))
         )
 
-    empty = F.array().cast("array<struct<pos:double,weight:double>>")
+    return F.aggregate(items, F.array().cast("array<struct<pos:double,weight:double>>"), step)
+
+
+def drop_slivers(lines: DataFrame, keys: Sequence[str], least: float = 5.0) -> DataFrame:
+    """Of lines closer than ``least`` to their neighbour the heavier stays: a left fold over a key's few lines, kept
+    inside one array expression."""
+    items = F.array_sort(F.collect_list(F.struct("pos", "weight")))
     kept = lines.select(*keys, F.col("pos").cast("double").alias("pos"), F.col("weight").cast("double").alias("weight"))
-    out = kept.groupBy(*keys).agg(items.alias("_l")).select(*keys, F.posexplode(F.aggregate("_l", empty, step)).alias("line_no", "_i"))
+    out = kept.groupBy(*keys).agg(items.alias("_l")).select(*keys, F.posexplode(without_slivers(F.col("_l"), least)).alias("line_no", "_i"))
     return out.select(*keys, "line_no", "_i.pos", "_i.weight")
 
 
