@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 SEG = "doc_id int, page_no int, dir string, pos double, a double, b double, ruled boolean"
 
 
-@pytest.mark.parametrize("name", ["absorb_inner", "merge_cells", "stack_components"])
+@pytest.mark.parametrize("name", ["absorb_inner", "extend_down", "merge_cells", "stack_components"])
 def test_folds_make_no_pandas_tables(spark, name):
     plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "MapInArrow" in plan
@@ -32,3 +32,10 @@ def test_absorb_inner_takes_the_sides_of_its_cell(spark):
     one = [("h", 0.0, 0.0, 200.0, True, 0)] * 2 + [("h", 100.0, 0.0, 200.0, True, 0)] * 2 + [("v", x, 0.0, 100.0, True, 0) for x in (0.0, 200.0)]
     assert [r for r in got if r[1] < 300 and r[2] < 300] == sorted(one)
     assert len(got) == 10
+
+
+def test_extend_down_stops_where_a_row_crosses(spark):
+    g = spark.createDataFrame([(1, 0, 0, [0.0, 100.0, 200.0], 20.0, 20.0, True)], "doc_id int, page_no int, table_no int, xs array<double>, y1 double, last_h double, open boolean")
+    rows = [(1, 0, n, x, x + w, 24.0 + 14 * n, 34.0 + 14 * n, 10.0) for n, x, w in ((0, 5.0, 30.0), (0, 105.0, 30.0), (1, 105.0, 40.0), (2, 60.0, 80.0), (3, 5.0, 9.0))]
+    lines = spark.createDataFrame(rows, "doc_id int, page_no int, row_no int, x0 double, x1 double, top double, bottom double, size double")
+    assert [tuple(r) for r in J.extend_down(g, lines).collect()] == [(1, 0, 0, 2, 50.0)]
