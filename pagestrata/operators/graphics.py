@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +67,10 @@ def _strips(f: DataFrame, along_x: bool) -> DataFrame:
     return m.select(*PAGE, F.explode(F.when(F.coalesce(ok, F.lit(False)), F.array(merged)).otherwise(F.col("_members"))).alias("m")).select(*PAGE, "m.*")
 
 
+#: Fills or boxes of a page up to which lists are faster than arrays.
+FEW = 64
+
+
 def clean_fills(fills: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Fills as they are seen: flattened over what lies beneath in paint order, without repaint and without what later
     paint or opaque pictures hide. Each fill depends on those before it, so a page is one fold."""
@@ -73,37 +79,36 @@ def clean_fills(fills: DataFrame, images: DataFrame | None = None) -> DataFrame:
     if images is not None:
         rows = rows.unionByName(images.select(*PAGE, "paint_order", "x", "y", "w", "h", F.lit("000000").alias("color"), F.lit(1.0).alias("opacity"), F.lit(True).alias("picture")))
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("paint_order").reset_index(drop=True)
-        box = np.column_stack([pdf["x"], pdf["y"], pdf["x"] + pdf["w"], pdf["y"] + pdf["h"]])
-        rgb = np.array([[int(c[k : k + 2], 16) for k in (0, 2, 4)] for c in pdf["color"]], dtype=float)
-        live: list[int] = []
-
-        def holds(outer, inner, tol):
-            return (outer[..., :2] <= inner[..., :2] + tol).all(-1) & (outer[..., 2:] >= inner[..., 2:] - tol).all(-1)
-
-        for i in range(len(pdf)):
-            shown = np.array(live, dtype=int)
-            if pdf["picture"][i]:
-                live = list(shown[~holds(box[i], box[shown], 0.1)]) if live else live
+    def page(g: dict) -> list:
+        order = sorted(zip(*(g[c] for c in (*cols, "picture"))), key=lambda r: [(v is None, v) for v in r[2:]])
+        box = [[math.nan if v is None else v for v in (x, y, *((None, None) if None in (x, y, w, h) else (x + w, y + h)))] for x, y, w, h in (r[3:7] for r in order)]
+        rgb = [[float(int(r[7][k : k + 2], 16)) for k in (0, 2, 4)] for r in order]
+        many, live = np.array(box) if len(order) > FEW else None, []
+
+        def unhidden(i: int) -> list[int]:
+            if many is not None and len(live) > FEW:
+                b = many[live]
+                return np.array(live)[~((many[i, :2] <= b[:, :2] + 0.1).all(1) & (many[i, 2:] >= b[:, 2:] - 0.1).all(1))].tolist()
+            x0, y0, x1, y1 = box[i]
+            return [k for k in live if not (x0 <= box[k][0] + 0.1 and y0 <= box[k][1] + 0.1 and x1 >= box[k][2] - 0.1 and y1 >= box[k][3] - 0.1)]
+
+        for i, r in enumerate(order):
+            if r[9]:
+                live = unhidden(i)
                 continue
-            if max(box[i][2] - box[i][0], box[i][3] - box[i][1]) < 0.75:
+            x0, y0, x1, y1 = box[i]
+            if max(x1 - x0, y1 - y0) < 0.75:
                 continue
-            below = shown[holds(box[shown], box[i], 0.25)] if live else shown
-            under = rgb[below[-1]] if len(below) else np.full(3, 255.0)
-            alpha = pdf["opacity"][i]
-            if alpha < 0.98:
-                rgb[i] = under + alpha * (rgb[i] - under)
-            if np.abs(rgb[i] - under).max() <= 255 * 0.008:
+            under = next((rgb[k] for k in reversed(live) if box[k][0] <= x0 + 0.25 and box[k][1] <= y0 + 0.25 and box[k][2] >= x1 - 0.25 and box[k][3] >= y1 - 0.25), [255.0] * 3)
+            alpha = r[8]
+            if alpha is not None and alpha < 0.98:
+                rgb[i] = [u + alpha * (c - u) for u, c in zip(under, rgb[i])]
+            if max(abs(c - u) for u, c in zip(under, rgb[i])) <= 255 * 0.008:
                 continue
-            if live:
-                live = list(shown[~holds(box[i], box[shown], 0.1)])
-            live.append(i)
-        out = pdf.iloc[live].copy()
-        out["color"] = ["".join(f"{int(np.floor(v + 0.5)):02X}" for v in rgb[i]) for i in live]
-        return out.assign(opacity=1.0)[cols]
-
-    return grouped_map(rows, PAGE, page, _schema(fills, cols))
+            live = [*unhidden(i), i]
+        return [(*order[i][:7], "".join(f"{math.floor(v + 0.5):02X}" for v in rgb[i]), 1.0) for i in live]
+
+    return grouped_rows(rows, PAGE, page, _schema(fills, cols))
 
 
 def dotted_rows(pieces: DataFrame) -> DataFrame:
