@@ -228,29 +228,50 @@ def cluster_boxes(boxes: DataFrame, gap: float = 2.0) -> DataFrame:
     cols = [*PAGE, "x", "y", "x1", "y1", "members"]
     given = boxes.select(*PAGE, "x", "y", (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), F.lit(1).cast("bigint").alias("members"))
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf[["x", "y", "x1", "y1", "members"]].to_numpy(dtype=float)
+    def page(g: dict) -> list:
+        key = tuple(g[k][0] for k in PAGE)
+        boxes = list(zip(*(g[c] for c in cols[2:])))
+        if len(boxes) > FEW or any(None in b for b in boxes):
+            b = _clusters(np.array(boxes, dtype=float), gap)
+            return [(*key, *(None if v != v else v for v in r[:4]), int(r[4])) for r in b.tolist()]
         while True:
-            b = b[np.lexsort((b[:, 1], b[:, 0]))]
-            i, j = _near(b, gap)
-            if not len(i):
-                break
-            root = np.arange(len(b))
-            while (root[i] != root[j]).any():
-                np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
-                while (root[root] != root).any():
-                    root = root[root]
-            order = np.argsort(root, kind="stable")
-            cut = np.flatnonzero(np.append(True, np.diff(root[order]) > 0))
-            low, high = np.minimum.reduceat(b[order, :2], cut), np.maximum.reduceat(b[order, 2:4], cut)
-            b = np.hstack([low, high, np.add.reduceat(b[order, 4:], cut)])
-        out = pd.DataFrame(b, columns=["x", "y", "x1", "y1", "members"])
-        out["members"] = out["members"].astype("int64")
-        for k in PAGE:
-            out[k] = pdf[k].iloc[0]
-        return out[cols]
-
-    return grouped_map(given.select(*cols), PAGE, page, _schema(given, cols))
+            boxes.sort()
+            root = list(range(len(boxes)))
+            for i, (_, y0, x1, y1, _) in enumerate(boxes):
+                for j in range(i + 1, len(boxes)):
+                    other = boxes[j]
+                    if other[0] > x1 + gap:
+                        break
+                    if other[1] <= y1 + gap and y0 <= other[3] + gap and root[i] != root[j]:
+                        low, high = sorted((root[i], root[j]))
+                        root = [low if r == high else r for r in root]
+            if root == list(range(len(boxes))):
+                return [(*key, *b) for b in boxes]
+            merged: dict = {}
+            for r, b in zip(root, boxes):
+                o = merged.get(r)
+                merged[r] = b if o is None else (min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3]), o[4] + b[4])
+            boxes = list(merged.values())
+
+    return grouped_rows(given.select(*cols), PAGE, page, _schema(given, cols))
+
+
+def _clusters(b: np.ndarray, gap: float) -> np.ndarray:
+    """The same over arrays (x, y, x1, y1, members), for pages of many boxes."""
+    while True:
+        b = b[np.lexsort((b[:, 1], b[:, 0]))]
+        i, j = _near(b, gap)
+        if not len(i):
+            return b
+        root = np.arange(len(b))
+        while (root[i] != root[j]).any():
+            np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+            while (root[root] != root).any():
+                root = root[root]
+        order = np.argsort(root, kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(root[order]) > 0))
+        low, high = np.minimum.reduceat(b[order, :2], cut), np.maximum.reduceat(b[order, 2:4], cut)
+        b = np.hstack([low, high, np.add.reduceat(b[order, 4:], cut)])
 
 
 def vector_art(areas: DataFrame, words: DataFrame, tables: DataFrame, pictures: DataFrame, page_w: float, page_h: float) -> DataFrame:
