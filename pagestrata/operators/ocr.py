@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions.text import letter_count
-from pagestrata.operators.common import grouped_map, half_up, islands, middle_median, schema_of, starts, whole_groups
+from pagestrata.operators.common import grouped_map, grouped_rows, half_up, islands, middle_median, schema_of, starts, whole_groups
 
 LINE = ["doc_id", "page_no", "line"]
 PAGE = ["doc_id", "page_no"]
@@ -295,28 +296,26 @@ def line_style_vote(words: DataFrame) -> DataFrame:
 def palette(words: DataFrame, reach: int = 36) -> DataFrame:
     """Ink colours of a page gathered around running means; the order of words decides, so one page is one fold."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line", "x0", "word_no"])
-        sums: list[np.ndarray] = []
-        counts: list[int] = []
+    def page(g: dict) -> list:
+        order = sorted(zip(*(g[c] for c in ("line", "x0", "word_no", "r", "g", "b"))), key=lambda r: [(v is None, v) for v in r])
+        sums: list[list] = []  # sums of a colour and its words
         member = []
-        for ink in pdf[["r", "g", "b"]].to_numpy(dtype=float):
-            near = [k for k, total in enumerate(sums) if np.abs(total / counts[k] - ink).max() <= reach]
-            if near:
-                sums[near[0]] = sums[near[0]] + ink
-                counts[near[0]] += 1
+        for *_, r, gr, b in order:
+            ink = [math.nan if v is None else float(v) for v in (r, gr, b)]
+            near = next((k for k, (x, y, z, n) in enumerate(sums) if abs(x / n - ink[0]) <= reach and abs(y / n - ink[1]) <= reach and abs(z / n - ink[2]) <= reach), len(sums))
+            if near < len(sums):
+                sums[near] = [*(t + v for t, v in zip(sums[near], ink)), sums[near][3] + 1]
             else:
-                near = [len(sums)]
-                sums.append(ink)
-                counts.append(1)
-            member.append(near[0])
-        mean = [s / n for s, n in zip(sums, counts)]
-        names = ["000000" if m.max() - m.min() < 28 and m.max() < 70 else "".join(f"{int(np.floor(v + 0.5)):02X}" for v in m) for m in mean]
-        return pdf.assign(color=[names[k] for k in member])[[*LINE, "word_no", "color"]]
+                sums.append([*ink, 1])
+            member.append(near)
+        means = [[v / n for v in total] for *total, n in sums]
+        names = ["000000" if max(m) - min(m) < 28 and max(m) < 70 else "".join(f"{math.floor(v + 0.5):02X}" for v in m) for m in means]
+        key = tuple(g[k][0] for k in PAGE)
+        return [(*key, line, word, names[k]) for (line, _, word, *_), k in zip(order, member)]
 
     cols = words.select(*LINE, "word_no", "x0", "r", "g", "b")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.select(*LINE, "word_no").schema.fields)
-    return grouped_map(cols, PAGE, page, f"{schema}, color string")
+    return grouped_rows(cols, PAGE, page, f"{schema}, color string")
 
 
 def merge_ocr(existing: DataFrame, recognised: DataFrame, least: int = 100) -> DataFrame:

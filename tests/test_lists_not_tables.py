@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 SEG = "doc_id int, page_no int, dir string, pos double, a double, b double, ruled boolean"
 
 
-@pytest.mark.parametrize("name", ["absorb_inner", "clean_fills", "cluster_boxes", "extend_down", "merge_cells", "stack_components", "stream_blocks"])
+@pytest.mark.parametrize("name", ["absorb_inner", "clean_fills", "cluster_boxes", "extend_down", "merge_cells", "palette", "stack_components", "stream_blocks"])
 def test_folds_make_no_pandas_tables(spark, name):
     plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "MapInArrow" in plan
@@ -41,6 +41,12 @@ def test_extend_down_stops_where_a_row_crosses(spark):
     assert [tuple(r) for r in J.extend_down(g, lines).collect()] == [(1, 0, 0, 2, 50.0)]
 
 
+def test_palette_gathers_words_in_their_order(spark):
+    rows = [(1, 0, 0, n, 10.0 * n, *c) for n, c in enumerate([(0, 0, 0), (36, 36, 36), (54, 54, 54), (200, 0, 0), (73, 73, 73)])]
+    words = spark.createDataFrame(rows, "doc_id int, page_no int, line int, word_no int, x0 double, r int, g int, b int").repartition(3)
+    assert [r["color"] for r in O.palette(words).orderBy("word_no").collect()] == ["000000"] * 3 + ["C80000", "000000"][:1] + ["494949"]
+
+
 def pages(n):
     dice = random.Random(7)
     return [(1, 0, i, 6.0 * dice.randrange(40), 6.0 * dice.randrange(40), 3.0 + dice.randrange(30), 3.0 + dice.randrange(9), f"{dice.randrange(4) * 60:02X}8040", dice.choice([1.0, 0.5])) for i in range(n)]
