@@ -38,7 +38,7 @@ def _(spark, d):
         "doc_id", "page_no", "x", (F.col("y") + F.col("h")).alias("y"), F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy"),
         F.when(t.endswith("n"), F.col("w") + 20).otherwise(F.col("w")).alias("w"), "size", F.when(t.rlike("^.e"), F.upper(t)).otherwise(t).alias("old"),
     )
-    return E.locate_edits(targets, derived.glyphs(spark, d), folded=True)
+    return E.locate_edits(targets, derived.glyphs(spark, d))
 
 
 NEW_SQL = "CASE WHEN text='the' THEN 'that' WHEN text='que' THEN 'qu' WHEN text='tion' THEN '' END"
