@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagestrata.operators import lines as L
 from pagestrata.operators.common import half_up, r4
 from pagestrata.plans.registry import query, s2, s4
+from pagestrata.session import cut_lineage
 from pagestrata.sources import derived
 from pagestrata.sources.derived import table
 
@@ -94,6 +95,12 @@ def apart(spark, d):
     return derived.glyphs(spark, d).withColumn("x", F.col("x") + F.when((F.col("para_no") % 3 == 1) & (F.col("x") >= 216), 60.0).otherwise(0.0))
 
 
+def chunked(glyphs):
+    """Boxes, limits and gaps of chunks; the glyphs are read once."""
+    c = cut_lineage(L.page_chunks(glyphs))
+    return c.drop("gaps", "limit"), c.select("doc_id", "page_no", "limit").distinct(), c.select("doc_id", "page_no", "chunk", "gaps")
+
+
 @query("content_chunks")
 def _(spark, d):
     return L.page_chunks(apart(spark, d)).drop("gaps", "limit")
@@ -101,11 +108,8 @@ def _(spark, d):
 
 @query("group_lines")
 def _(spark, d):
-    g = apart(spark, d)
-    stats = L.spacing_stats(g)
-    chunks = L.content_chunks(g, stats)
-    boxes = L.chunk_boxes(g, chunks)
-    return L.group_lines(boxes, stats, L.word_gaps(g, chunks)).join(boxes, ["doc_id", "page_no", "chunk"]).groupBy("doc_id", "page_no", "line").agg(F.count("*").alias("chunks"), F.min("u0").alias("x0"), F.max("u1").alias("x1"))
+    boxes, stats, gaps = chunked(apart(spark, d))
+    return L.group_lines(boxes, stats, gaps).join(boxes, ["doc_id", "page_no", "chunk"]).groupBy("doc_id", "page_no", "line").agg(F.count("*").alias("chunks"), F.min("u0").alias("x0"), F.max("u1").alias("x1"))
 
 
 FEAT_SQL = """
