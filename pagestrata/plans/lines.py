@@ -140,11 +140,8 @@ def turned(spark, d):
     "fx_lines",
 )
 def _(spark, d):
-    g = turned(spark, d)
-    stats = L.spacing_stats(g)
-    chunks = L.content_chunks(g, stats)
-    boxes = L.chunk_boxes(g, chunks)
-    lines = L.line_boxes(boxes, L.group_lines(boxes, stats, L.word_gaps(g, chunks)))
+    boxes, stats, gaps = chunked(turned(spark, d))
+    lines = L.line_boxes(boxes, L.group_lines(boxes, stats, gaps))
     turn = F.round(F.degrees(F.atan2("dy", "dx"))).cast("int").alias("turn")
     width = F.col("u1") - F.col("u0")
     return lines.groupBy("doc_id", "page_no", turn).agg(F.count("*").alias("lines"), F.min("u0").alias("u0"), F.sum(width).alias("width"), F.max(width).alias("widest"))
