@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions import geometry as G
-from pagestrata.operators.common import bucket_join, grouped_map, grouped_rows, half_up, islands, upper_median
+from pagestrata.operators.common import bucket_join, grouped_rows, half_up, islands, upper_median
 
 PAGE = ["doc_id", "page_no"]
 

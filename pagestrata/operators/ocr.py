@@ -6,13 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.functions.text import letter_count
-from pagestrata.operators.common import grouped_map, grouped_rows, half_up, islands, middle_median, schema_of, starts, whole_groups
+from pagestrata.operators.common import grouped_rows, half_up, islands, middle_median, schema_of, starts, whole_groups
 
 LINE = ["doc_id", "page_no", "line"]
 PAGE = ["doc_id", "page_no"]
@@ -170,13 +169,15 @@ def _snap(sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def snap_sizes(lines: DataFrame) -> DataFrame:
     """Sizes of a page's lines drawn to its few sizes; an ordered fold over one page. ``lines``: size, chars."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "line"])
-        return pdf.assign(snapped=_snap(pdf["size"].to_numpy(), pdf["chars"].to_numpy()))[[*LINE, "size", "snapped"]]
+    def page(g: dict) -> list:
+        order = sorted(zip(g["size"], g["line"], g["chars"]), key=lambda r: [(v is None, v) for v in r])
+        size, chars = (np.array([r[i] for r in order], dtype=float) for i in (0, 2))
+        key = tuple(g[k][0] for k in PAGE)
+        return [(*key, line, own, v) for (own, line, _), v in zip(order, _snap(size, chars).tolist())]
 
     cols = lines.select(*LINE, "size", F.col("chars").cast("double").alias("chars"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.select(*LINE, "size").schema.fields)
-    return grouped_map(cols, PAGE, page, f"{schema}, snapped double")
+    return grouped_rows(cols, PAGE, page, f"{schema}, snapped double")
 
 
 MOST_WIDTHS = 20_000

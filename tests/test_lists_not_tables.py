@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 SEG = "doc_id int, page_no int, dir string, pos double, a double, b double, ruled boolean"
 
 
-@pytest.mark.parametrize("name", ["absorb_inner", "clean_fills", "cluster_boxes", "extend_down", "merge_cells", "palette", "stack_components", "stream_blocks"])
+@pytest.mark.parametrize("name", ["absorb_inner", "clean_fills", "cluster_boxes", "extend_down", "merge_cells", "palette", "snap_sizes", "stack_components", "stream_blocks"])
 def test_folds_make_no_pandas_tables(spark, name):
     plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "MapInArrow" in plan
