@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,51 +63,124 @@ def replace_spans(glyphs: DataFrame) -> DataFrame:
 def dedupe_overprints(glyphs: DataFrame) -> DataFrame:
     """One glyph per overprinted copy, the one on top; copies struck a hair apart become bold. Directions (dx, dy) must agree.
 
-    A glyph meets the earlier ones of its text in the cells around it, by an equality join. A pair at less than 0.06 em is a
-    copy, one at up to 0.3 em if the next or the last glyph of both is shifted alike. Of a chain of copies each strikes out the
-    one under it, but an invisible one never a visible one: it goes itself while that one stands. Blanks go with the struck
-    glyphs around them."""
-    cols = [*PAGE, "seq", "text", "ws", "x", "y", "size", "color", "bold", "invisible"]
-    w = Window.partitionBy(*PAGE).orderBy("seq")
-    side = ("seq", "text", "ws", "x", "y", "size")
-    beside = [f"{at}_{c}" for at in ("prev", "next") for c in side]
-    g = along(glyphs).select(*cols, "dx", "dy").withColumns({f"prev_{c}": F.lag(c).over(w) for c in side} | {f"next_{c}": F.lead(c).over(w) for c in side})
-    inks = g.filter(~F.col("ws") & (F.col("text") != ""))
-    inks = inks.withColumn("_c", F.greatest(F.lit(1.0), 0.6 * F.max("size").over(Window.partitionBy(*PAGE, "text"))))
-    here = {"_cx": F.floor(F.col("x") / F.col("_c")), "_cy": F.floor(F.col("y") / F.col("_c"))}
-    reach = lambda c: F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 0.3 * F.col("size")) / F.col("_c")), F.floor((F.col(c) + 0.3 * F.col("size")) / F.col("_c")))))
-    tops = inks.withColumn("_cx", reach("x")).withColumn("_cy", reach("y")).drop("bold")
-    unders = inks.withColumns(here).select(*PAGE, "text", "_cx", "_cy", *[F.col(c).alias(f"u_{c}") for c in ("seq", "x", "y", "size", "color", "invisible", "dx", "dy", *beside)])
-    ox, oy, size = F.col("x") - F.col("u_x"), F.col("y") - F.col("u_y"), F.col("size")
-    dist, slack = F.hypot(ox, oy), 0.02 * F.col("size") + 0.05
-
-    def alike(at: str) -> Column:
-        u, t = ({c: F.col(f"{who}{at}_{c}") for c in side} for who in ("u_", ""))
-        return (u["text"] == t["text"]) & (t["text"] != "") & ~t["ws"] & (F.abs(u["size"] - t["size"]) < 0.15 * u["size"]) & (F.abs(t["x"] - u["x"] - ox) <= slack) & (F.abs(t["y"] - u["y"] - oy) <= slack)
-
-    after = alike("next") & (F.col("u_next_seq") != F.col("seq"))
-    before = alike("prev") & (F.col("prev_seq") != F.col("u_seq"))
-    shifted = F.coalesce(after, F.lit(False)) | F.coalesce(before, F.lit(False))
-    copy = (F.col("u_seq") < F.col("seq")) & (F.abs(F.col("u_size") - size) <= 0.15 * size) & (F.abs(F.col("u_dx") - F.col("dx")) <= 1e-3) & (F.abs(F.col("u_dy") - F.col("dy")) <= 1e-3)
-    pairs = tops.join(unders, [*PAGE, "text", "_cx", "_cy"]).filter(copy & (dist <= 0.3 * size) & ((dist < 0.06 * size) | shifted))
-    yields = F.col("invisible") & ~F.col("u_invisible")
-    hair = ~F.col("invisible") & ~F.col("u_invisible") & (F.col("color") == F.col("u_color")) & (dist > 0.004 * size) & (dist < 0.06 * size)
-    pairs = pairs.select(*PAGE, "seq", "u_seq", yields.alias("_yields"), hair.alias("_hair"))
-    struck_by = F.min(F.when(~F.col("_yields"), F.col("seq"))).over(Window.partitionBy(*PAGE, "u_seq"))
-    live = pairs.withColumn("_by", struck_by).filter(F.col("_by").isNull() | (F.col("_by") >= F.col("seq")))
-    told = live.select(*PAGE, "seq", F.col("_yields").alias("_gone"), (F.col("_hair") & ~F.col("_yields")).alias("_hair"))
-    told = told.unionByName(live.filter(~F.col("_yields")).select(*PAGE, F.col("u_seq").alias("seq"), F.lit(True).alias("_gone"), F.lit(False).alias("_hair")))
-    marks = told.groupBy(*PAGE, "seq").agg(F.max("_gone").alias("_gone"), F.max("_hair").alias("_hair"))
-    t = g.select(*cols).join(marks, [*PAGE, "seq"], "left").withColumns({"_gone": F.coalesce("_gone", F.lit(False)), "bold": F.col("bold") | F.coalesce("_hair", F.lit(False))})
-    ink_gone = F.when(~F.col("ws"), F.col("_gone"))
-    t = t.withColumns({
-        "_left": F.coalesce(F.last(ink_gone, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)),
-        "_right": F.coalesce(F.first(ink_gone, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(False)),
-        "_to": F.lead("ws").over(w), "_from": F.lag("ws").over(w),
-    })
-    last_blank = (F.col("_left") & (F.col("_right") | F.col("_to").isNull())) | (F.col("_from").isNull() & F.col("_right"))
-    blank_gone = F.when(F.coalesce("_to", F.lit(False)), F.col("_left")).otherwise(last_blank)
-    return t.filter(~F.when(F.col("ws"), blank_gone).otherwise(F.col("_gone"))).select(*cols)
+    A glyph meets the earlier ones of its text in the cells around it. A pair at less than 0.06 em is a copy, one at up to
+    0.3 em if the next or the last glyph of both is shifted alike. Of a chain of copies each strikes out the one under it, but
+    an invisible one never a visible one: it goes itself while that one stands. Blanks go with the struck glyphs around them.
+    A page is one group of numbers; where glyphs are dealt by page nothing is shuffled."""
+    cols = ["seq", "text", "ws", "x", "y", "size", "color", "bold", "invisible"]
+    pages = along(glyphs).select(*PAGE, *cols, "dx", "dy").groupBy(*PAGE).agg(F.collect_list(F.struct(*cols, "dx", "dy")).alias("_g"))
+
+    @F.arrow_udf("binary")
+    def told(page: pa.Array) -> bytes:
+        every = dict(zip([*cols, "dx", "dy"], page.flatten().flatten()))
+        return _told_of_page(*(every[c] for c in ("seq", "text", "color", "ws", "invisible", "x", "y", "size", "dx", "dy"))).tobytes()
+
+    # As a window a page reaches Python alone, and its rows stay where they were dealt.
+    pages = pages.withColumn("_k", told("_g").over(Window.partitionBy(*PAGE)))
+    flag = lambda i: F.substr("_k", i + 1, F.lit(1))
+    each = pages.select(*PAGE, F.explode(F.transform("_g", lambda g, i: F.struct(g.alias("g"), flag(i).alias("k")))).alias("_i")).filter("_i.k <> X'00'")
+    bold = F.col("_i.g.bold") | (F.col("_i.k") == F.expr("X'02'"))
+    return each.select(*PAGE, *[(bold if c == "bold" else F.col(f"_i.g.{c}")).alias(c) for c in cols])
+
+
+def _told_of_page(seq, text, color, ws, invisible, x, y, size, dx, dy) -> np.ndarray:
+    """Of a page's glyphs, in any order: 0 for one that goes, 1 for one that stays, 2 for one that stays and is bold."""
+    by = pc.sort_indices(seq)
+    seq, text, color, ws, invisible, *place = (v.take(by) for v in (seq, text, color, ws, invisible, x, y, size, dx, dy))
+    blank, hidden = (pc.fill_null(v, False).to_numpy(zero_copy_only=False) for v in (ws, invisible))
+    names = [pc.fill_null(v.dictionary_encode().indices, -1).to_numpy() for v in (text, color)]
+    inked = ~blank & pc.fill_null(pc.not_equal(text, ""), False).to_numpy(zero_copy_only=False)
+    number = np.unique(seq.to_numpy(), return_inverse=True)[1]
+    gone, hair = _overprinted(number, *names, inked, hidden, *(pc.cast(v, pa.float64()).to_numpy(zero_copy_only=False) for v in place))
+    out = np.empty(len(blank), np.int8)
+    out[by.to_numpy()] = _kept(blank, gone) * (1 + hair)
+    return out
+
+
+#: Pairs of glyphs that are looked at together.
+PAIRS = 1 << 18
+
+
+def _near_copies(text: np.ndarray, ink: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (upper, lower) of inked glyphs of one text that lie in neighbouring cells, in portions; each pair once."""
+    ink = ink[np.isfinite(x[ink]) & np.isfinite(y[ink]) & np.isfinite(size[ink])]
+    if len(ink) < 2:
+        return
+    most = np.zeros(int(text.max()) + 1)
+    np.maximum.at(most, text[ink], size[ink])
+    cell = np.maximum(1.0, 0.6 * most)[text[ink]]
+    axes = []
+    for v in (x[ink], y[ink]):
+        own = np.floor(v / cell)
+        known = np.unique(own)
+        reach = [np.floor((v + d * size[ink]) / cell) for d in (-0.3, 0.3)]
+        at = [np.minimum(np.searchsorted(known, r), len(known) - 1) for r in reach]
+        ok = [known[a] == r for a, r in zip(at, reach)]
+        ok[1] &= reach[0] != reach[1]
+        axes.append((np.searchsorted(known, own), at, ok, len(known)))
+    (cx, rx, okx, _), (cy, ry, oky, high) = axes
+    name = lambda a, b: (text[ink].astype(np.int64) * axes[0][3] + a) * high + b
+    under = name(cx, cy)
+    by = np.argsort(under, kind="stable")
+    under = under[by]
+    for i in (0, 1):
+        for j in (0, 1):
+            tops = np.flatnonzero(okx[i] & oky[j])
+            want = name(rx[i], ry[j])[tops]
+            begin, end = (np.searchsorted(under, want, side) for side in ("left", "right"))
+            many, at = np.cumsum(end - begin), 0
+            while at < len(tops):
+                to = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + PAIRS, side="right")))
+                n = (end - begin)[at:to]
+                low = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at:to], n)
+                yield ink[np.repeat(tops[at:to], n)], ink[by[low]]
+                at = to
+
+
+def _overprinted(seq, text, color, inked, hidden, x, y, size, dx, dy) -> tuple[np.ndarray, np.ndarray]:
+    """Which glyphs of a page, in order, are struck out, and which are bold."""
+    n = len(seq)
+
+    def alike(u: np.ndarray, t: np.ndarray, step: int, ox: np.ndarray, oy: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        a, b = u + step, t + step
+        ok = (a >= 0) & (b >= 0) & (a < n) & (b < n)
+        a, b = np.where(ok, a, 0), np.where(ok, b, 0)
+        ok &= (text[a] == text[b]) & inked[b] & (np.abs(size[a] - size[b]) < 0.15 * size[a])
+        return ok & (np.abs(x[b] - x[a] - ox) <= slack) & (np.abs(y[b] - y[a] - oy) <= slack)
+
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for t, u in _near_copies(text, np.flatnonzero(inked), x, y, size):
+        ox, oy = x[t] - x[u], y[t] - y[u]
+        dist = np.hypot(ox, oy)
+        copy = (seq[u] < seq[t]) & (np.abs(size[u] - size[t]) <= 0.15 * size[t]) & (np.abs(dx[u] - dx[t]) <= 1e-3) & (np.abs(dy[u] - dy[t]) <= 1e-3) & (dist <= 0.3 * size[t])
+        t, u, ox, oy, dist = (v[copy] for v in (t, u, ox, oy, dist))
+        slack = 0.02 * size[t] + 0.05
+        after = alike(u, t, 1, ox, oy, slack) & (seq[np.minimum(u + 1, n - 1)] != seq[t])
+        before = alike(u, t, -1, ox, oy, slack) & (seq[np.maximum(t - 1, 0)] != seq[u])
+        real = (dist < 0.06 * size[t]) | after | before
+        found.append((t[real], u[real], dist[real]))
+    t, u, dist = (np.concatenate(v) for v in zip(*found))
+    yields = hidden[t] & ~hidden[u]
+    apart = ~hidden[t] & ~hidden[u] & (color[t] >= 0) & (color[t] == color[u]) & (dist > 0.004 * size[t]) & (dist < 0.06 * size[t])
+    struck_by = np.full(int(seq.max(initial=-1)) + 1, n)
+    np.minimum.at(struck_by, seq[u[~yields]], seq[t[~yields]])
+    live = struck_by[seq[u]] >= seq[t]
+    gone, hair = np.zeros(len(struck_by), bool), np.zeros(len(struck_by), bool)
+    gone[seq[t[live & yields]]] = gone[seq[u[live & ~yields]]] = True
+    hair[seq[t[live & apart & ~yields]]] = True
+    return gone[seq], hair[seq]
+
+
+def _kept(ws: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Glyphs that stay: those not struck, and blanks that do not stand among struck ones."""
+    n, at = len(ws), np.arange(len(ws))
+    before = np.maximum.accumulate(np.where(ws, -1, at))
+    after = np.minimum.accumulate(np.where(ws, n, at)[::-1])[::-1]
+    left = (before >= 0) & gone[np.maximum(before, 0)]
+    right = (after < n) & gone[np.minimum(after, n - 1)]
+    to, last, first = np.append(ws[1:], False), at == n - 1, at == 0
+    blank = np.where(to, left, (left & (right | last)) | (first & right))
+    return ~np.where(ws, blank, gone)
 
 
 def split_tabs(glyphs: DataFrame) -> DataFrame:
